@@ -1,0 +1,164 @@
+"""Removal of passages that repeat across or within documents, by hashing the units they are made of.
+
+A unit is a line or, within a line, what stands between sentence ends or before a capitalised word, so
+that a passage set into a longer line still falls into the same units. Units are normalised (case,
+white space) and digested; digests are grouped globally, and the earliest ranked occurrence is
+kept: the smallest (doc_id, hash of the text, position). A run of consecutive units that are all
+later occurrences is removed if it has ``least_words`` words; shorter repeats are everyday phrases.
+Removed stretches are returned as offsets (code points, end exclusive) into the original text.
+
+Defined results: null text gives null text and no removals; empty text stays; rows with a null doc_id take no part
+and come back whole; repeated rows (one doc_id and text) count as one document; other columns are kept
+by ``deduplicated`` and ignored otherwise.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.common import stored
+
+LEAST_WORDS = 20
+_CUT = re.compile(r"\s*\n\s*|(?<=[.!?])\s+|\s+(?=[^\W\d_a-zß-öø-ÿ][^\s]*)")
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def units(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the units of a text; the white space between units belongs to none."""
+    out, at = [], 0
+    for m in _CUT.finditer(text):
+        if m.start() > at:
+            out.append((at, m.start()))
+        at = m.end()
+    if at < len(text):
+        out.append((at, len(text)))
+    return out
+
+
+def digests(text: str) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(signed 64-bit digests, words, spans) of a text's units that have a word."""
+    from xxhash import xxh64_intdigest
+
+    spans, found, words = [], [], []
+    for a, b in units(text):
+        parts = text[a:b].lower().split()
+        if parts:
+            spans.append((a, b))
+            words.append(len(parts))
+            found.append(xxh64_intdigest(" ".join(parts)))
+    return np.array(found, np.uint64).view(np.int64), np.array(words, np.int32), spans
+
+
+def text_hash(text: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(text, 42)).view(np.int64))
+
+
+def occurrences(documents: DataFrame) -> DataFrame:
+    """(digest, doc_id, text_hash, position) of every unit of every text."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            held: list[tuple] = []
+            size = 0
+
+            def out():
+                n = [len(x[1]) for x in held]
+                columns = [np.concatenate([x[1] for x in held]), np.repeat([x[0] for x in held], n), np.repeat([x[2] for x in held], n), np.concatenate([np.arange(k, dtype=np.int32) for k in n])]
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["digest", "doc_id", "text_hash", "position"])
+
+            for doc_id, value in zip(ids, texts, strict=True):
+                text = value.as_py()
+                found, _, _ = digests(text)
+                if len(found):
+                    held.append((doc_id, found, text_hash(text)))
+                    size += len(found)
+                if size > 200_000:
+                    yield out()
+                    held, size = [], 0
+            if held:
+                yield out()
+
+    some = documents.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    return some.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "digest long, doc_id long, text_hash long, position int")
+
+
+def later_units(documents: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, positions) of the units that are later occurrences, a sorted array for each document that has any."""
+    every = occurrences(documents)
+    place = F.struct("doc_id", "text_hash", "position")
+    # Counts and first places are made in each task before they are dealt out, so a hot unit costs no task more.
+    firsts = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter(F.col("n") > 1)
+    firsts = stored(firsts.select("digest", "first"), "repeated")
+    later = every.join(firsts, "digest").filter(place != F.col("first")).select("doc_id", "text_hash", "position")
+    return stored(later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("position")).alias("positions")), "later")
+
+
+def cut(text: str, later: np.ndarray, least_words: int = LEAST_WORDS) -> tuple[str, list[tuple[int, int]], int, int]:
+    """(text that is left, removed spans, units, units removed) when the units at positions ``later`` are later occurrences."""
+    _, words, spans = digests(text)
+    flagged = np.zeros(len(spans) + 2, bool)
+    flagged[1 + later[later < len(spans)]] = True
+    edges = np.flatnonzero(flagged[1:] != flagged[:-1])
+    total = np.concatenate([[0], np.cumsum(words)])
+    removed, gone = [], 0
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        if total[b] - total[a] >= least_words:
+            removed.append((spans[a][0], spans[b - 1][1]))
+            gone += int(b - a)
+    if not removed:
+        return text, [], len(spans), 0
+    left, at = [], 0
+    for a, b in removed:
+        left.append(text[at:a])
+        at = b
+    left.append(text[at:])
+    parts = [left[0].rstrip() if removed[0][0] else ""]
+    for before, after in zip(left, left[1:], strict=False):  # of the white space on both sides of a cut, one newline or space stays
+        tail, head = before[len(before.rstrip()) :], after[: len(after) - len(after.lstrip())]
+        body = after.strip() if after is not left[-1] else after.lstrip()
+        if any(parts) and body:
+            parts.append("\n" if "\n" in tail + head else " ")
+        parts.append(body)
+    return "".join(parts), removed, len(spans), gone
+
+
+def _cut_column(least_words: int):
+    @F.pandas_udf(f"text string, n_units int, n_removed_units int, removed_spans {SPANS}")
+    def run(texts, later):
+        import pandas as pd
+
+        none = np.zeros(0, np.int64)
+        rows = [(None, 0, 0, []) if t is None else (lambda x: (x[0], x[2], x[3], [{"start": a, "end": b} for a, b in x[1]]))(cut(t, none if p is None else np.asarray(p, np.int64), least_words)) for t, p in zip(texts, later, strict=True)]
+        return pd.DataFrame(rows, columns=["text", "n_units", "n_removed_units", "removed_spans"])
+
+    return run
+
+
+def _met(documents: DataFrame, least_words: int) -> DataFrame:
+    later = later_units(documents).select(*(F.col(c).alias(f"_own_{c}") for c in ("doc_id", "text_hash", "positions")))
+    own = (F.col("doc_id") == F.col("_own_doc_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_own_text_hash"))
+    return documents.join(later, own, "left").withColumn("_own_cut", _cut_column(least_words)(F.col("text").cast("string"), F.col("_own_positions")))
+
+
+def removals(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, the text that is left, numbers of units and of removed units, and removed spans, for every document."""
+    return _met(documents.select("doc_id", "text"), least_words).select("doc_id", "_own_cut.*")
+
+
+def deduplicated(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The documents with repeated passages cut out of ``text`` (n_chars follows it, if there is such a column); all rows and columns stay."""
+    met = _met(documents, least_words)
+    taken = {"text": F.col("_own_cut.text")}
+    if "n_chars" in documents.columns:
+        taken["n_chars"] = F.length("_own_cut.text").cast(documents.schema["n_chars"].dataType)
+    return met.select(*(taken[c].alias(c) if c in taken else F.col(c) for c in documents.columns))
