@@ -9,21 +9,33 @@ other ways are encoded whole. tests/llm hold both against the library.
 
 from __future__ import annotations
 
+import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 from itertools import islice
 
-import numpy as np
-
 #: Chunks that a worker remembers, in two generations of half as many each.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 _BREAKS = re.compile(r"\n+")
+#: The letters of the byte-level alphabet: a printable byte stands for itself, the others for code points from 256 on, in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+
+
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
 
 
 class TextEncoder:
     """Little-endian unsigned 32-bit ids of texts, as bytes."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -31,11 +43,13 @@ class TextEncoder:
         self._limit = max(1, remembered // 2)
         self._new: dict[str, bytes | None] = {}
         self._old: dict[str, bytes | None] = {}
+        self._marks: dict[str, bytes] = {}
         spec = self._tokenizer.pre_tokenizer.__getstate__() if self._tokenizer.pre_tokenizer else b""
+        self._model, self._newline = self._tokenizer.model, self.whole("\n")
         self._cuts = b'"ByteLevel"' in spec and b'"add_prefix_space":false' in spec.replace(b" ", b"") and self._tokenizer.normalizer is None
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _bytes(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
@@ -59,28 +73,50 @@ class TextEncoder:
             return None
         return key if key[0] == "\n" else " " + key
 
+    def _word(self, text: str) -> bytes:
+        """The ids of a text that is one pre-token."""
+        return _bytes([t.id for t in self._model.tokenize(text.encode().decode("latin-1").translate(_BYTE_LETTERS))])
+
+    def _learn(self, unknown: set[str]) -> None:
+        """Adds the ids of chunks. A word goes to the model at once; marks at its end are a token of their own, so it serves with any marks."""
+        new, old, marks_of = self._new, self._old, self._marks
+        rest = []
+        for key in unknown:
+            if key in old:
+                new[key] = old[key]
+                continue
+            body = key.rstrip(",.;:!?")
+            if body.isalpha():
+                ids = new.get(body) or old.get(body)
+                if ids is None:
+                    new[body] = ids = self._word(" " + body)
+            elif body[:1] == "\n" and body[1:].isalpha():
+                ids = self._newline + self._word(body[1:])
+            else:
+                rest.append(key)
+                continue
+            if len(body) < len(key):
+                marks = key[len(body) :]
+                if marks not in marks_of:
+                    marks_of[marks] = self.whole(marks)
+                ids += marks_of[marks]
+            new[key] = ids
+        alone = {key: self._alone(key) for key in rest}
+        new.update((key, None) for key, text in alone.items() if text is None)
+        todo = ((key, text) for key, text in alone.items() if text is not None)
+        while batch := list(islice(todo, 4096)):
+            for (key, _), e in zip(batch, self._tokenizer.encode_batch_fast([a for _, a in batch], add_special_tokens=False), strict=True):
+                new[key] = _bytes(e.ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; the same as the library's encode(text, add_special_tokens=False)."""
         if not self._cuts:
-            return [np.asarray(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return [_bytes(e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         parts = [self._chunks(t) for t in texts]
-        new, old = self._new, self._old
-        absent: dict[str, str] = {}
+        new, every = self._new, set()
         for chunks in parts:
-            for key in set(chunks):
-                if key not in new:
-                    if key in old:
-                        new[key] = old[key]
-                    elif key not in absent:
-                        alone = self._alone(key)
-                        if alone is None:
-                            new[key] = None
-                        else:
-                            absent[key] = alone
-        todo = iter(absent.items())
-        while batch := list(islice(todo, 4096)):
-            for (key, _), e in zip(batch, self._tokenizer.encode_batch_fast([a for _, a in batch], add_special_tokens=False), strict=True):
-                new[key] = np.asarray(e.ids, "<u4").tobytes()
+            every.update(chunks)
+        self._learn(every.difference(new))
         find = new.__getitem__
         out = []
         for text, chunks in zip(texts, parts, strict=True):
