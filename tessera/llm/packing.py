@@ -47,11 +47,11 @@ class Packer:
         self.sequence += 1
 
     def best_level(self, n: int) -> int:
-        """The level to put n ids on: that of the least growth of the sum of squares; of equal ones the fullest."""
+        """The level to put n ids on, fewer than a window: that of the least growth of the sum of squares (less 2 here); of equal ones the fullest."""
         counts = self.levels
-        growth = counts[n : self.window + 1] - counts[: self.window + 1 - n]
+        growth = 2 * (counts[n : self.window + 1] - counts[: self.window + 1 - n])
         growth[-1] -= 1  # a full window is counted no more
-        growth[0] = counts[n] if n < self.window else -1  # a new window leaves no level
+        growth[0] = 2 * counts[n] - 1  # a new window leaves no level
         used = counts[: self.window + 1 - n] > 0
         used[0] = True
         growth = np.where(used, growth, np.iinfo(np.int64).max)
