@@ -95,6 +95,8 @@ def log_probabilities(models: Models, codes: np.ndarray, place: np.ndarray) -> n
             at, known = _rows(keys, before[todo - 1])
             known &= before[todo - 1] != 0
             out[todo[known]] += logs[at[known]]
+    if models.contexts and len(models.contexts[0][1]):
+        out[todo] += models.contexts[0][1][0]  # the weight of what no order has seen
     out[todo] += models.unseen
     return out
 
