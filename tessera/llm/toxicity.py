@@ -26,7 +26,7 @@ BUCKETS = 1 << 18
 #: Letters of a word's beginnings that are traits.
 STEMS = (4, 5, 6, 7)
 #: Labelled documents that the fit reads at most: toxic, clean; and the longest text among them, in characters.
-TOXIC_ROWS, CLEAN_ROWS, LONGEST = 2000, 4000, 60_000
+TOXIC_ROWS, CLEAN_ROWS, LONGEST = 1200, 2400, 20_000
 THRESHOLD = 0.3
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _WORDS = re.compile(r"\S+")
@@ -107,19 +107,24 @@ def features(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.column_stack([any_toxic, np.log1p(sums)])
 
 
-def _toxic_traits(docs: list[list[str]], labels: np.ndarray, least: int = 4, z: float = 5.0, ratio: float = 8.0) -> set[str]:
-    """Traits that stand in more distinct contexts (word before, word) in toxic documents than their share in clean ones explains."""
+def _toxic_traits(words: list[str], ids: np.ndarray, before: np.ndarray, toxic: np.ndarray, least: int = 4, z: float = 5.0, ratio: float = 8.0) -> set[str]:
+    """Traits that stand in more distinct contexts (word before, word) in toxic documents than their share in clean ones explains.
+
+    ``ids`` and ``before`` number each token and the one before it in ``words``; ``toxic`` tells the token's document's label.
+    """
     from collections import defaultdict
 
-    contexts: list[set[tuple[str, str]]] = [set(), set()]
-    for words, label in zip(docs, labels, strict=True):
-        contexts[int(label)].update(zip(["", *words], words, strict=False))
     seen: list[dict[str, int]] = [defaultdict(int), defaultdict(int)]
-    for own, pairs in zip(seen, contexts, strict=True):
-        for _, w in pairs:
-            for t in traits(w):
-                own[t] += 1
-    share = len(contexts[1]) / max(1, len(contexts[0]) + len(contexts[1]))
+    sizes = [0, 0]
+    for label in (1, 0):  # clean documents' counts are wanted for traits of toxic ones only
+        pairs = np.unique((before * np.int64(len(words) + 1) + ids)[toxic == label]) % (len(words) + 1)
+        sizes[label] = len(pairs)
+        counts = np.bincount(pairs, minlength=len(words))
+        for k in np.flatnonzero(counts):
+            for t in traits(words[k]):
+                if label or t in seen[1]:
+                    seen[label][t] += int(counts[k])
+    share = sizes[1] / max(1, sum(sizes))
     odds = share / max(1 - share, 1e-9)
     out = set()
     for t, n1 in seen[1].items():
@@ -135,14 +140,19 @@ def fit(texts: list[str], labels: np.ndarray, base: float, steps: int = 60, piec
     model = Field(np.zeros(BUCKETS), base=base)
     if len(set(labels.tolist())) < 2:
         return model
-    docs = [[normal(t) for t in text.split()] for text in texts]
-    toxic = _toxic_traits(docs, labels)
-    lengths = np.array([len(d) for d in docs], np.int64)
-    words = {w: i for i, w in enumerate({w for d in docs for w in d})}
-    known = np.array([buckets(w) for w in words], np.int64).reshape(len(words), -1)  # traits' buckets of each distinct word
-    marked = np.array([any(t in toxic for t in traits(w)) for w in words], bool)
-    x = np.array([words[w] for d in docs for w in d], np.int64)
-    y = marked[x] & np.repeat(labels == 1, lengths) if len(x) else np.zeros(0, bool)
+    numbers: dict[str, int] = {}
+    tokens = [np.array([numbers.setdefault(normal(t), len(numbers)) for t in text.split()], np.int32) for text in texts]
+    words = list(numbers)
+    lengths = np.array([len(d) for d in tokens], np.int64)
+    x = np.concatenate(tokens).astype(np.int64)
+    del tokens, numbers
+    before = np.concatenate([[len(words)], x[:-1]])[: len(x)]
+    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = len(words)
+    in_toxic = np.repeat(labels == 1, lengths)
+    toxic = _toxic_traits(words, x, before, in_toxic.astype(np.int8))
+    known = np.array([buckets(w) for w in words], np.int64).reshape(len(words), 1 + len(STEMS))  # traits' buckets of each distinct word
+    y = np.array([any(t in toxic for t in traits(w)) for w in words], bool)[x] & in_toxic
+    del before, in_toxic
     # Pieces of a bounded length are chains of their own, which the fit advances together.
     cuts = np.concatenate([np.minimum(piece, n - np.arange(0, n, piece)) for n in lengths if n] or [np.zeros(0, np.int64)])
     if not len(cuts):
@@ -152,6 +162,7 @@ def fit(texts: list[str], labels: np.ndarray, base: float, steps: int = 60, piec
     tags = np.zeros((len(cuts), piece), np.int8)
     mask = np.arange(piece) < cuts[:, None]
     rows[mask], tags[mask] = x, y
+    del y
     # Most pieces have clean tags only; those with a toxic one and as many others again are enough for the transitions and weights.
     holds = tags.any(axis=1)
     others = np.flatnonzero(~holds)
