@@ -4,7 +4,7 @@ Text is cut into words, each with the white-space marks before it, which no piec
 are encoded once for each worker. Words of equal length advance together: hashes of all their substrings
 probe the sorted keys of the pieces, and for each end position the best start is taken by vectorised maxima and stored as a backpointer.
 
-A unigram model's score is the sum of its pieces' scores. A merge model (BPE) has no such sum: its encoding is the one
+A unigram model's score is the sum of its pieces' scores. A merge model (BPE, whose pieces have to come in the order of their merges) has no such sum: its encoding is the one
 path on which no two neighbours would have been merged otherwise, so a transition is allowed only between such neighbours,
 which the pieces' merge trees tell; exactly one start is then left at each position that a path reaches.
 
@@ -121,6 +121,9 @@ class Pieces:
                 self.left[i], self.right[i] = self.symbols[last[0]], self.symbols[last[1]]
             else:
                 self.whole[i] = False
+        made = np.flatnonzero(self.left != np.arange(size))
+        if (np.maximum(self.birth[self.left[made]], self.birth[self.right[made]]) >= self.birth[made]).any():
+            raise ValueError("a piece comes before the pieces that it is merged from")
         pairs = {(self.symbols[p[:j]], self.symbols[p[j:]]): k for p, k in rank.items() for j in range(1, len(p)) if p[:j] in self.symbols and p[j:] in self.symbols}
         keys = np.array([a * size + b for a, b in pairs], np.int64)
         order = np.argsort(keys)
