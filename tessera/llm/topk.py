@@ -137,14 +137,16 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 5, block: int = BLO
     queries = stored(own.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     blocks, parts = (max(1, -(-x.count() // y)) for x, y in ((own, block), (queries, asked)))
 
-    def dealt(n: int) -> Column:
-        """Rows of a stored table by turns, so that equal rows spread."""
-        return F.pmod(F.monotonically_increasing_id(), F.lit(n))
-
-    copies = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
-    index = own.select("vec_id", "v", dealt(blocks).cast("int").alias("block"), copies)
-    copies = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    questions = queries.select("vec_id", "v", copies, dealt(parts).cast("int").alias("part"))
+    def dealt(df: DataFrame, name: str, n: int, other: str, copies: int) -> DataFrame:
+        """Rows of a stored table by turns into ``n`` groups, so that equal rows spread; then a copy for each group of the other side.
+
+        The turn is taken in a projection of its own: beside the copies it would differ from copy to copy.
+        """
+        turn = df.select("vec_id", "v", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int").alias(name))
+        return turn.select("*", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other))
+
+    index = dealt(own, "block", blocks, "part", parts)
+    questions = dealt(queries, "part", parts, "block", blocks)
 
     def rows(table) -> tuple[np.ndarray, np.ndarray]:
         v = table.column("v").combine_chunks()
