@@ -1,0 +1,96 @@
+"""Removal of repeated passages against a plain form over all units."""
+
+import random
+
+import numpy as np
+from conftest import WORDS, prose  # noqa: F401
+
+from tessera.llm import substrings
+
+
+def plain(rows, least):
+    """{(doc_id, text): removed spans} by one pass over the units in rank order."""
+    every = []
+    for doc_id, text in {(r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None}:
+        position = 0
+        for a, b in substrings.units(text):
+            words = text[a:b].lower().split()
+            if words:
+                every.append((doc_id, substrings.text_hash(text), position, " ".join(words), text, a, b, len(words)))
+                position += 1
+    every.sort(key=lambda x: x[:3])
+    seen, later = set(), {}
+    for doc_id, _, position, unit, text, a, b, n in every:
+        later.setdefault((doc_id, text), []).append((unit in seen, a, b, n))
+        seen.add(unit)
+    out = {}
+    for k, units in later.items():
+        spans, run = [], []
+        for flag, a, b, n in [*units, (False, 0, 0, 0)]:
+            if flag:
+                run.append((a, b, n))
+            elif run:
+                if sum(x[2] for x in run) >= least:
+                    spans.append((run[0][0], run[-1][1]))
+                run = []
+        out[k] = spans
+    return out
+
+
+def test_units_cover_a_text():
+    text = "One two. three\n\n four Five é Über! 1 a? b\tC"
+    spans = substrings.units(text)
+    assert [text[a:b] for a, b in spans] == ["One two.", "three", "four", "Five é", "Über!", "1 a?", "b", "C"]
+    assert substrings.units("") == [] and substrings.digests(" \n ")[2] == []
+
+
+def test_cut_keeps_the_rest():
+    text = "Aa bb cc. Dd ee ff gg. Hh ii.\nJj kk."
+    assert substrings.cut(text, np.array([1]), 4) == ("Aa bb cc. Hh ii.\nJj kk.", [(10, 22)], 4, 1)
+    assert substrings.cut(text, np.array([1]), 5)[0] == text
+    assert substrings.cut(text, np.array([0, 1, 2, 3]), 4)[0] == ""
+    assert substrings.cut(text, np.array([2, 3]), 4)[0] == "Aa bb cc. Dd ee ff gg."
+    assert substrings.cut(text, np.array([0, 1]), 4)[0] == "Hh ii.\nJj kk."
+
+
+def test_frames(documents, nothing, rows):
+    want = plain(rows, 20)
+    found = substrings.removals(documents, 20).collect()
+    assert len(found) == len(rows)
+    texts = {r[0]: r[1] for r in rows}
+    for r in found:
+        text = texts[r.doc_id] if r.doc_id is not None else r.text
+        spans = [(s.start, s.end) for s in r.removed_spans]
+        assert spans == want.get((r.doc_id, text), []), r.doc_id
+        if text is None:
+            assert r.text is None
+        else:
+            left = "".join(c for i, c in enumerate(text) if not any(a <= i < b for a, b in spans))
+            assert left.split() == r.text.split() and (spans or r.text == text)
+    clean = substrings.deduplicated(documents, 20)
+    assert clean.columns == documents.columns and clean.count() == len(rows)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in clean.collect())
+    assert substrings.removals(nothing).collect() == [] and substrings.deduplicated(nothing).collect() == []
+
+
+def test_passage_inside_lines_is_found(spark):
+    rng = random.Random(9)
+    passage = prose(rng, WORDS, 60).replace("\n", " ")
+    docs = []
+    for i in range(12):
+        own = prose(rng, WORDS, 80).split(" ")
+        docs.append((i, " ".join([*own[:30], passage, *own[30:]])))
+    docs += [(100 + i, prose(rng, WORDS, 90)) for i in range(10)]
+    found = {r.doc_id: r for r in substrings.removals(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert passage in found[0].text
+    for i in range(1, 12):
+        assert passage[len(passage.split(".")[0]) :] not in found[i].text and passage.split(". ")[1] not in found[i].text
+        assert len(found[i].text.split()) >= 75
+    assert all(found[i].text == t and not found[i].removed_spans for i, t in docs if i >= 100)
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    long = "Word " + " ".join(f"w{i}" for i in range(30)) + "."
+    rows = [(1, long), (1, long), (1, "Other. " + long), (2, long)]
+    found = sorted((r.doc_id, r.text) for r in substrings.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sum(long in t for _, t in found) in (1, 2) and (2, "") in found
