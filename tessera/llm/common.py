@@ -58,12 +58,16 @@ def id_remainder(doc_id: str | Column, modulus: int) -> Column:
 def ordered_sample(df: DataFrame, key: str, rows: int, *group: str) -> DataFrame:
     """At most ``rows`` rows (of each group, if named) with the smallest hash of ``key``: a bounded, repeatable sample.
 
-    Both forms keep a bounded heap in each task before anything is shuffled.
+    Groups are counted first, and only rows whose hash is small for their group's size are ranked, about four times as many as wanted:
+    a hot group brings its task no more rows than any other.
     """
     from pyspark.sql import Window
 
     mixed = df.withColumn("_mix", F.xxhash64(F.col(key).cast("string"), F.lit(7)))
     if not group:
         return mixed.orderBy("_mix", key).limit(rows).drop("_mix")
+    sizes = df.groupBy(*(F.col(g).alias(f"_of_{g}") for g in group)).agg(F.count(F.lit(1)).alias("_size"))
+    share = F.col("_mix") / 2.0**64 + 0.5
+    mixed = mixed.join(sizes, [F.col(g) == F.col(f"_of_{g}") for g in group]).filter(share * F.col("_size") <= 4 * rows + 16).select(*df.columns, "_mix")
     rank = F.row_number().over(Window.partitionBy(*group).orderBy("_mix", key))
     return mixed.withColumn("_rank", rank).filter(F.col("_rank") <= rows).drop("_rank", "_mix")
