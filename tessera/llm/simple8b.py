@@ -17,11 +17,18 @@ COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
 BLOCK = 1024
+#: Ids that are encoded at a time.
+AT_ONCE = 1 << 18
 MAGIC = b"TSS8B001"
 
 
+_SHORT = np.array([k.bit_length() for k in range(1 << 16)], np.uint8)
+
+
 def _widths(ids: np.ndarray) -> np.ndarray:
-    """Bits that each value needs, 64 at most."""
+    """Bits that each value needs, 64 at most; token ids mostly fit sixteen, which a table answers."""
+    if ids.max(initial=0) < len(_SHORT):
+        return _SHORT[ids.astype(np.uint16)]
     bits = np.zeros(len(ids), np.uint8)
     rest = ids
     for step in (32, 16, 8, 4, 2, 1):
@@ -32,15 +39,30 @@ def _widths(ids: np.ndarray) -> np.ndarray:
     return bits + (rest != 0)
 
 
-def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, word offsets of the blocks with the end, escaped values) of unsigned ids."""
+def encode(ids: np.ndarray, block: int = BLOCK, at_once: int = AT_ONCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, word offsets of the blocks with the end, escaped values) of unsigned ids, about ``at_once`` of them at a time."""
+    step = max(1, at_once // block) * block
+    parts, ends, escaped, n = [], [np.zeros(1, np.uint64)], [], np.uint64(0)
+    for at in range(0, len(ids), step):
+        words, offsets, values = _encode(ids[at : at + step], block)
+        words[words >> np.uint64(60) == ESCAPE] += np.uint64(sum(map(len, escaped)))
+        parts.append(words)
+        ends.append(offsets[1:] + n)
+        escaped.append(values)
+        n += offsets[-1]
+    none = [np.zeros(0, np.uint64)]
+    return np.concatenate(parts or none), np.concatenate(ends), np.concatenate(escaped or none)
+
+
+def _encode(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = np.ascontiguousarray(ids, np.uint64)
     n = len(ids)
     blocks = -(-n // block)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint64), np.zeros(0, np.uint64)
     bits = _widths(ids)
-    room = np.minimum(block - np.arange(n) % block, n - np.arange(n)).astype(np.int32)
+    place = np.arange(n, dtype=np.int32)
+    room = np.minimum(np.minimum(block - place % block, n - place), 60).astype(np.uint8)
     most = {1: bits}  # the widest of the next k values; short of k at the end, which room rules out
     choice = np.where(bits > 60, ESCAPE, 13).astype(np.uint8)
     for s in range(12, -1, -1):
@@ -53,7 +75,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
         if b and (shift := k - b) < n:
             wide[: n - shift] = np.maximum(wide[: n - shift], most[b][shift:])
         most[k] = wide
-        choice[(wide <= WIDTHS[s]) & (room >= k)] = s
+        np.copyto(choice, np.uint8(s), where=(wide <= WIDTHS[s]) & (room >= k))
     counts = np.array([*COUNTS, 1, 1], np.int64)
     at = np.arange(blocks, dtype=np.int64) * block
     ends = np.minimum(at + block, n)
@@ -74,8 +96,10 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
         where = np.flatnonzero(selector == s)
         if len(where):
             shifts = (np.arange(COUNTS[s]) * WIDTHS[s]).astype(np.uint64)
-            values = ids[start[where, None] + np.arange(COUNTS[s])] << shifts
-            words[where] = np.bitwise_or.reduce(values, axis=1) | np.uint64(s << 60)
+            own, word = start[where], np.full(len(where), s << 60, np.uint64)
+            for k, shift in enumerate(shifts):  # a column at a time: words of one selector have as many values
+                word |= ids[own + k] << shift
+            words[where] = word
     where = np.flatnonzero(selector == ESCAPE)
     words[where] = np.arange(len(where), dtype=np.uint64) | np.uint64(ESCAPE << 60)
     offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=blocks))]).astype(np.uint64)
@@ -93,7 +117,9 @@ def decode(words: np.ndarray, escaped: np.ndarray) -> np.ndarray:
         where = np.flatnonzero(selector == s)
         if len(where):
             shifts = (np.arange(COUNTS[s]) * WIDTHS[s]).astype(np.uint64)
-            out[starts[where, None] + np.arange(COUNTS[s])] = words[where, None] >> shifts & np.uint64((1 << WIDTHS[s]) - 1)
+            own, word, mask = starts[where], words[where], np.uint64((1 << WIDTHS[s]) - 1)
+            for k, shift in enumerate(shifts):
+                out[own + k] = word >> shift & mask
     where = np.flatnonzero(selector == ESCAPE)
     if len(where):
         out[starts[where]] = escaped[(words[where] & np.uint64((1 << 60) - 1)).astype(np.int64)]

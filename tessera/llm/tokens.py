@@ -17,7 +17,7 @@ from functools import lru_cache
 from itertools import islice
 
 #: Chunks that a worker remembers, in two generations of half as many each.
-REMEMBERED = 900_000
+REMEMBERED = 500_000
 _BREAKS = re.compile(r"\n+")
 #: The letters of the byte-level alphabet: a printable byte stands for itself, the others for code points from 256 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
