@@ -71,3 +71,27 @@ def ordered_sample(df: DataFrame, key: str, rows: int, *group: str) -> DataFrame
     mixed = mixed.join(sizes, [F.col(g) == F.col(f"_of_{g}") for g in group]).filter(share * F.col("_size") <= 4 * rows + 16).select(*df.columns, "_mix")
     rank = F.row_number().over(Window.partitionBy(*group).orderBy("_mix", key))
     return mixed.withColumn("_rank", rank).filter(F.col("_rank") <= rows).drop("_rank", "_mix")
+
+
+_STATE: dict = {}
+
+
+def worker_state(key, make):
+    """What a worker process keeps for its operator between tasks, made by ``make()``. One slot: the next operator's state takes its place,
+    and the memory goes back to the system, so a reused worker never holds several."""
+    if key not in _STATE:
+        _STATE.clear()
+        _released()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def _released() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not the GNU library; nothing depends on it

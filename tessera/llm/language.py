@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ordered_sample
+from tessera.llm.common import ordered_sample, worker_state
 
 ORDER = 4
 #: Documents of each language that the fit reads at most, and the longest text among them, in characters.
@@ -197,7 +197,7 @@ def _calibrate(models: Models, texts: dict[str, list[str]]) -> None:
 class Scorer:
     """Sums of log probabilities of texts, word by word; words are kept for each worker, up to a bound."""
 
-    def __init__(self, models: Models, remembered: int = 300_000):
+    def __init__(self, models: Models, remembered: int = 200_000):
         self.models, self.limit = models, remembered
         self.known: dict[str, int] = {}
         self.table = np.zeros((1024, len(models.languages) + 1), np.float32)
@@ -273,17 +273,11 @@ def train(documents: DataFrame, learn: Column | None = None, rows: int = ROWS) -
     return train_models(texts)
 
 
-_SCORERS: dict = {}
-
-
 def _scorer(shared) -> Scorer:
-    """The worker's scorer of a broadcast model; the last model only is kept."""
+    """The worker's scorer of broadcast models."""
     m = shared.value
-    key = tuple(m.languages), *(len(k) for k, _ in m.grams), m.mean.tobytes() if m.mean is not None else b""
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(m)
-    return _SCORERS[key]
+    key = ("language", *m.languages, *(len(k) for k, _ in m.grams), m.mean.tobytes() if m.mean is not None else b"")
+    return worker_state(key, lambda: Scorer(m))
 
 
 def language_column(spark, models: Models, text: Column) -> Column:

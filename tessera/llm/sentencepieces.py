@@ -18,13 +18,14 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import worker_state
+
 MARK = "▁"
 UNIGRAM, MERGES = 1, 2
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -302,10 +303,9 @@ class Codec:
         return raw.decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    """One for each worker process and model."""
-    return Codec(load(path))
+    """One for each worker process."""
+    return worker_state(("pieces", path), lambda: Codec(load(path)))
 
 
 DIGEST = "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean"

@@ -13,11 +13,12 @@ import os
 import re
 import sys
 from array import array
-from functools import lru_cache
 from itertools import islice
 
+from tessera.llm.common import worker_state
+
 #: Chunks that a worker remembers, in two generations of half as many each.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 _BREAKS = re.compile(r"\n+")
 #: The letters of the byte-level alphabet: a printable byte stands for itself, the others for code points from 256 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -129,10 +130,9 @@ class TextEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
-    """One encoder for each worker process and vocabulary; a reused worker keeps what it has learnt."""
-    return TextEncoder(path)
+    """One encoder for each worker process; a reused worker keeps what it has learnt."""
+    return worker_state(("tokens", path), lambda: TextEncoder(path))
 
 
 def in_groups(texts: list[str | None], most_chars: int = 4_000_000):

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ordered_sample
+from tessera.llm.common import ordered_sample, worker_state
 
 BUCKETS = 1 << 18
 #: Letters of a word's beginnings that are traits.
@@ -230,7 +230,7 @@ def _logistic(f: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40
 class Scorer:
     """Scores and spans of texts; words' weights are kept for each worker, up to a bound."""
 
-    def __init__(self, model: Field, remembered: int = 300_000):
+    def __init__(self, model: Field, remembered: int = 200_000):
         self.model, self.limit, self.known = model, remembered, {}
 
     def _weights(self, tokens: list[str]) -> np.ndarray:
@@ -300,16 +300,10 @@ def score_column(spark, model: Field, text: Column) -> Column:
     return run(text.cast("string"))
 
 
-_SCORERS: dict = {}
-
-
 def _scorer(shared) -> Scorer:
-    """The worker's scorer of a broadcast model; the last model only is kept."""
-    key = shared.value.weights.tobytes()[:64], float(shared.value.start), shared.value.base
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(shared.value)
-    return _SCORERS[key]
+    """The worker's scorer of a broadcast model."""
+    model = shared.value
+    return worker_state(("toxicity", hash(model.weights.tobytes()), model.start, model.base), lambda: Scorer(model))
 
 
 def scored(documents: DataFrame, model: Field, threshold: float = THRESHOLD) -> DataFrame:
