@@ -259,7 +259,7 @@ def load(path: str) -> Pieces:
 class Codec:
     """Encodes and decodes whole texts; words are kept for each worker, in two generations."""
 
-    def __init__(self, pieces: Pieces, remembered: int = 400_000):
+    def __init__(self, pieces: Pieces, remembered: int = 900_000):
         self.pieces, self.limit = pieces, remembered // 2
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
