@@ -15,6 +15,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import stored
+
 #: Lengths in a range of the suffix sums.
 RANGE = 1024
 
@@ -38,7 +40,7 @@ def histogram(length_rows: DataFrame) -> DataFrame:
     """length, n_docs, and for a context limit of that length: documents and tokens of that length or longer, of shorter ones,
     the truncated total (each document cut to the limit), and the share of documents that fit."""
     counts = length_rows.groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
-    counts = counts.withColumn("part", (F.col("length") / RANGE).cast("long"))
+    counts = stored(counts.withColumn("part", (F.col("length") / RANGE).cast("long")), "histogram")  # read twice below, made once
     upto = Window.partitionBy("part").orderBy("length")
     within = counts.withColumns({
         "d": F.sum("n_docs").over(upto), "t": F.sum(F.col("n_docs") * F.col("length")).over(upto),
