@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, packing, quality, sentencepieces, simhash, substrings, token_counts, token_files, topk, toxicity
+from tessera.llm import language, packing, passages, quality, sentencepieces, simhash, token_counts, token_files, topk, toxicity
 from tessera.llm.common import id_remainder, table
 
 
@@ -58,7 +58,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.removals(table(spark, sf_dir, "documents"))
+    return passages.removals(table(spark, sf_dir, "documents"))
 
 
 def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
