@@ -15,34 +15,75 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local session gets one of its own; on several machines that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
+    """A new path in the application's own folder of the shared one, which goes when the application ends."""
+    folder = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+    if folder not in _OURS:
+        system, where = _hadoop(spark, folder)
+        system.mkdirs(where)
+        system.deleteOnExit(where)
+        _OURS.add(folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+_OURS: set[str] = set()
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends there, and a lost executor costs nothing."""
     path = scratch_path(df.sparkSession, label)
+    bounded_batches(df.sparkSession)
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._tessera_path = path  # for drop_stored
     return back
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Deletes the table behind a ``stored`` DataFrame that nothing reads any more."""
-    path = getattr(df, "_tessera_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+def drop_stored(*tables: DataFrame) -> None:
+    """Deletes the tables behind ``stored`` DataFrames that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_tessera_path", None)
+        if path:
+            system, where = _hadoop(df.sparkSession, path)
+            system.delete(where, True)
+
+
+#: Rows and bytes of a batch that goes to a Python worker, where the session has Spark's own larger values.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the batches that Python workers get, in rows and in bytes, so that long texts don't swell them. Values that a session has set itself stay."""
+    own = spark.sparkContext.getConf()
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not own.contains(key):
+            spark.conf.set(key, str(value))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as keep it apart from all columns of ``df``, without regard to case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def id_crc(doc_id: str | Column) -> Column:
@@ -55,22 +96,29 @@ def id_remainder(doc_id: str | Column, modulus: int) -> Column:
     return F.pmod(id_crc(doc_id), F.lit(modulus))
 
 
+#: Parts that a group is dealt to before its sample is drawn.
+SALTS = 64
+
+
 def ordered_sample(df: DataFrame, key: str, rows: int, *group: str) -> DataFrame:
     """At most ``rows`` rows (of each group, if named) with the smallest hash of ``key``: a bounded, repeatable sample.
 
-    Groups are counted first, and only rows whose hash is small for their group's size are ranked, about four times as many as wanted:
-    a hot group brings its task no more rows than any other.
+    Groups are counted first. Rows meet their group's count in ``SALTS`` parts of each group, and only those whose hash is small
+    for it are ranked, about four times as many as wanted: a hot group brings no task more rows than any other, at either step.
     """
     from pyspark.sql import Window
 
-    mixed = df.withColumn("_mix", F.xxhash64(F.col(key).cast("string"), F.lit(7)))
+    mix, salt, size, rank, *of = fresh(df, "_mix", "_salt", "_size", "_rank", *(f"_of_{g}" for g in group))
+    mixed = df.withColumn(mix, F.xxhash64(F.col(key).cast("string"), F.lit(7)))
     if not group:
-        return mixed.orderBy("_mix", key).limit(rows).drop("_mix")
-    sizes = df.groupBy(*(F.col(g).alias(f"_of_{g}") for g in group)).agg(F.count(F.lit(1)).alias("_size"))
-    share = F.col("_mix") / 2.0**64 + 0.5
-    mixed = mixed.join(sizes, [F.col(g) == F.col(f"_of_{g}") for g in group]).filter(share * F.col("_size") <= 4 * rows + 16).select(*df.columns, "_mix")
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy("_mix", key))
-    return mixed.withColumn("_rank", rank).filter(F.col("_rank") <= rows).drop("_rank", "_mix")
+        return mixed.orderBy(mix, key).limit(rows).drop(mix)
+    sizes = df.groupBy(*(F.col(g).alias(o) for g, o in zip(group, of, strict=True))).agg(F.count(F.lit(1)).alias(size))
+    sizes = sizes.withColumn(f"{salt}_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mixed = mixed.withColumn(salt, F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(11)), F.lit(SALTS)).cast("int"))
+    met = mixed.join(sizes, [F.col(salt) == F.col(f"{salt}_"), *(F.col(g) == F.col(o) for g, o in zip(group, of, strict=True))])
+    few = met.filter((F.col(mix) / 2.0**64 + 0.5) * F.col(size) <= 4 * rows + 16).select(*df.columns, mix)
+    ranked = few.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(mix, key)))
+    return ranked.filter(F.col(rank) <= rows).drop(rank, mix)
 
 
 _STATE: dict = {}

@@ -8,7 +8,7 @@ calibrated on documents left out of the counts: for pieces of them of each lengt
 over the language's mean are taken, and a text is rejected if its own lies more than ``SPREADS`` spreads beyond the median at its length.
 
 Defined results: null text and texts without a letter give 'und' with score 0; with no document to learn from every text
-is 'und'; languages are learnt from rows with non-null text and lang; repeated rows are allowed; other columns are ignored
+is 'und'; of languages that are equally near the first by name is taken; languages are learnt from rows with non-null text and lang; repeated rows are allowed; other columns are ignored
 (``identified``) or kept (``accepted``).
 """
 
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ordered_sample, worker_state
+from tessera.llm.common import bounded_batches, fresh, ordered_sample, worker_state
 
 ORDER = 4
 #: Documents of each language that the fit reads at most, and the longest text among them, in characters.
@@ -290,10 +290,11 @@ class Scorer:
         return [("und" if z else m.languages[b]) for b, z in zip(best, none, strict=True)], np.where(none, 0.0, score), far | none
 
 
-def train(documents: DataFrame, learn: Column | None = None, rows: int = ROWS) -> Models:
-    """Fits models on at most ``rows`` documents of each language (those whose ids hash lowest) for which ``learn``, of doc_id, holds."""
+def train(documents: DataFrame, learn: Column | None = None, rows: int = ROWS, longest: int = LONGEST) -> Models:
+    """Fits models on at most ``rows`` documents of each language (those whose ids hash lowest) of at most ``longest`` characters for which ``learn``,
+    of doc_id, holds; where ids repeat with other texts, on at most twice as many texts (those whose ids and texts hash lowest)."""
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    usable = own.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST))
+    usable = own.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest))
     if learn is not None:
         usable = usable.filter(learn)
     chosen = ordered_sample(usable.select("doc_id", "lang"), "doc_id", rows, "lang").distinct().collect()
@@ -303,7 +304,8 @@ def train(documents: DataFrame, learn: Column | None = None, rows: int = ROWS) -
     wanted = spark.createDataFrame([(r["doc_id"], r["lang"]) for r in chosen], "_own_id long, _own_lang string")
     found = usable.join(F.broadcast(wanted), (F.col("doc_id") == F.col("_own_id")) & (F.col("lang") == F.col("_own_lang")))
     texts: dict[str, list[str]] = {}
-    for r in found.select("lang", "text", "doc_id").distinct().orderBy("doc_id", F.xxhash64("text")).limit(2 * len(chosen)).collect():
+    few = found.select("lang", "text", "doc_id").distinct().withColumn("h", F.xxhash64("doc_id", "text")).orderBy("h", "lang").limit(2 * len(chosen)).collect()
+    for r in sorted(few, key=lambda r: (r["doc_id"], r["h"])):
         texts.setdefault(r["lang"], []).append(r["text"])
     return train_models(texts)
 
@@ -317,6 +319,7 @@ def _scorer(shared) -> Scorer:
 
 def language_column(spark, models: Models, text: Column) -> Column:
     """struct(lang_pred, score, rejected) of a text column; the models, whose size the sample bounds, are broadcast."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(models)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -331,7 +334,8 @@ def language_column(spark, models: Models, text: Column) -> Column:
 
 def identified(documents: DataFrame, models: Models) -> DataFrame:
     """doc_id, lang_pred (a learnt language, or und), score, rejected of each document."""
-    return documents.select("doc_id", language_column(documents.sparkSession, models, F.col("text")).alias("_own")).select("doc_id", "_own.*")
+    (own,) = fresh(documents, "_own")
+    return documents.select("doc_id", language_column(documents.sparkSession, models, F.col("text")).alias(own)).select("doc_id", f"{own}.*")
 
 
 def accepted(documents: DataFrame, models: Models) -> DataFrame:
