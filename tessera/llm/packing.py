@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded_batches
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 WINDOW = 2048
 #: Windows that a task holds open at once (8 KB each).
@@ -145,4 +147,5 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 1, window: int
         if rows := packer.taken():
             yield out(rows)
 
+    bounded_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

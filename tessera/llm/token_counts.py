@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import bounded_batches, stored
 
 #: Lengths in a range of the suffix sums.
 RANGE = 1024
@@ -33,6 +33,7 @@ def lengths(documents: DataFrame, tokenizer_path: str) -> DataFrame:
             found = [len(x) // 4 for _, texts in in_groups(batch.column(0).to_pylist()) for x in encoder(tokenizer_path).encode(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["length"])
 
+    bounded_batches(documents.sparkSession)
     return documents.select(F.col("text").cast("string")).mapInArrow(run, "length long")
 
 

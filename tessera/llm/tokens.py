@@ -4,7 +4,7 @@ The byte-level pre-tokenizer never lets a token span a single space between two
 characters that aren't white space, nor a run of newlines after such a character.
 So a text is cut there, and each chunk (with the space or newlines before it) has the
 same ids alone as in its place. Texts in which white space meets a space in
-other ways are encoded whole. tests/llm hold both against the library.
+other ways, and texts that hold one of the tokenizer's added tokens (which the library reads as that token), are encoded whole. tests/llm hold all of them against the library.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from itertools import islice
 from tessera.llm.common import worker_state
 
 #: Chunks that a worker remembers, in two generations of half as many each.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 _BREAKS = re.compile(r"\n+")
 #: The letters of the byte-level alphabet: a printable byte stands for itself, the others for code points from 256 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -40,7 +40,7 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._limit = max(1, remembered // 2)
         self._new: dict[str, bytes | None] = {}
         self._old: dict[str, bytes | None] = {}
@@ -113,7 +113,7 @@ class TextEncoder:
         """The ids of each text; the same as the library's encode(text, add_special_tokens=False)."""
         if not self._cuts:
             return [_bytes(e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        parts = [self._chunks(t) for t in texts]
+        parts = [[] if any(a in t for a in self._added) else self._chunks(t) for t in texts]
         new, every = self._new, set()
         for chunks in parts:
             every.update(chunks)
@@ -122,7 +122,7 @@ class TextEncoder:
         out = []
         for text, chunks in zip(texts, parts, strict=True):
             try:
-                out.append(b"".join(map(find, chunks)))
+                out.append(b"".join(map(find, chunks)) if chunks else self.whole(text))
             except TypeError:
                 out.append(self.whole(text))
         if len(new) > self._limit:
@@ -135,7 +135,7 @@ def encoder(path: str) -> TextEncoder:
     return worker_state(("tokens", path), lambda: TextEncoder(path))
 
 
-def in_groups(texts: list[str | None], most_chars: int = 4_000_000):
+def in_groups(texts: list[str | None], most_chars: int = 1_000_000):
     """(first index, texts) of consecutive groups that hold about most_chars characters; null is the empty text."""
     at, size, group = 0, 0, []
     for i, text in enumerate(texts):
