@@ -18,10 +18,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch_path, stored
+from tessera.llm.common import bounded_batches, scratch_path, stored
 
-#: Ids in a shard, about 40 MB of file.
-SHARD_IDS = 16_000_000
+#: Ids in a shard, about 10 MB of file; a task holds one shard's ids at a time.
+SHARD_IDS = 4_000_000
 #: Ids that a reader decodes at once.
 DECODE_IDS = 1 << 20
 MANIFEST = "partition int, piece int, name string, n_docs long, n_ids long"
@@ -100,6 +100,7 @@ def read(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
                 columns = [names, pa.array(shard.doc_ids, pa.int64()), pa.array(starts), pa.array(shard.lengths), pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in READ.split(", ")])
 
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(path)
     decoded = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(run, READ)
     rows = decoded.join(manifest.select("name", "shard_start"), "name")
