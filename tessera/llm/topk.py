@@ -6,37 +6,38 @@ bitmap arithmetic: each set bit of a weight puts a dimension's slices, shifted,
 binary place, and full adders over whole piles turn three bitmaps into two until a sum of one bitmap a place is left.
 Negative weights take the complemented slices, so all terms are positive and a
 constant brings the sum back. The k best rows are selected from the most significant slice downward; the boundary
-rows, which tie, are resolved by vec_id. Blocks' results meet in a merge of at most k rows a block.
+rows, which tie, are resolved by vec_id. Of the blocks' results, each task keeps a query's k best before they are dealt out by query.
 
 The query set meets all rows in a grid of blocks (``BLOCK`` rows, ``ASKED`` queries), so no task holds more than one
 block of each, however many there are and however alike.
 
 Defined results: vectors that are null, hold null or non-finite components, or have a null vec_id take no part;
-vectors of unequal dimension are filled up with zeros; a query's own vec_id is no candidate (so repeated rows of it aren't); of several vectors of one query id the smallest is asked; fewer candidates give fewer rows;
-repeated candidates count as often as they stand, in any order among equals; components are below 2 ** 22 in size after quantising, or an error is raised;
-other columns are ignored.
+vectors of unequal dimension are filled up with zeros; rows, not ids, are asked and found: each row of a repeated query id is a query with ranks of its
+own, and only that row is no candidate of it; rows with equal scores and ids come in any order; fewer candidates give fewer rows; a block whose scores might not fit in a long
+raises an error; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors in a block of the index.
 BLOCK = 4096
 #: Queries that meet a block in one task.
-ASKED = 1024
-LARGEST = 1 << 22
-SCHEMA = "query_id long, vec_id long, score long"
+ASKED = 8192
+SCHEMA = "query_row long, query_id long, vec_id long, score long"
 
 
 class SlicedBlock:
     """The bit slices of a block of quantised vectors (rows of integers)."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None):
+        """``rows`` numbers the vectors; a vector's own id does where it isn't given."""
         order = np.argsort(ids, kind="stable")  # rows by id: the first of tied rows is the smallest id
         self.ids, self.n = ids[order], len(ids)
+        self.place = {int(r): i for i, r in enumerate((ids if rows is None else rows)[order])}
         vectors = vectors[order]
         self.low = int(vectors.min()) if vectors.size else 0
         self.bits = max(1, int(vectors.max() - self.low).bit_length()) if vectors.size else 1
@@ -47,9 +48,9 @@ class SlicedBlock:
         slices = [np.packbits((padded >> np.uint64(b) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view(np.uint64) for b in range(self.bits)]
         self.slices = np.stack(slices, axis=1)  # [dimension, bit, word]
         self.inverse = ~self.slices
-        rows = np.zeros(self.words * 64, np.uint8)
-        rows[: self.n] = 1
-        self.rows = np.packbits(rows, bitorder="little").view(np.uint64)
+        used = np.zeros(self.words * 64, np.uint8)
+        used[: self.n] = 1
+        self.rows = np.packbits(used, bitorder="little").view(np.uint64)
 
     def added(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """(bitmaps of the sum's binary places, lowest first; what to add to it for the inner product)."""
@@ -90,13 +91,12 @@ class SlicedBlock:
         return out, constant
 
     def best(self, query: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(vec_ids, scores) of the k rows of the highest inner product with the query, ties to the smaller id."""
+        """(vec_ids, scores) of the k rows of the highest inner product with the query, ties to the smaller id; the row numbered ``without`` isn't looked at."""
         sums, constant = self.added(query)
         alive = self.rows.copy()
-        if without is not None:
-            lo, hi = np.searchsorted(self.ids, without), np.searchsorted(self.ids, without, side="right")
-            for r in range(lo, hi):
-                alive[r // 64] &= ~(np.uint64(1) << np.uint64(r % 64))
+        if without in self.place:
+            r = self.place[without]
+            alive[r // 64] &= ~(np.uint64(1) << np.uint64(r % 64))
         chosen, tied, need = np.zeros_like(alive), alive, min(k, int(np.bitwise_count(alive).sum()))
         for slice_ in reversed(sums):  # the rows that are surely in, and those still level, place by place
             ones = tied & slice_
@@ -121,6 +121,11 @@ def _positions(bitmap: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
+def _range(vectors: np.ndarray) -> int:
+    """A bound of a component's size once the smallest is taken off."""
+    return 2 * int(np.abs(vectors).max(initial=0)) + 1
+
+
 def usable(embeddings: DataFrame) -> DataFrame:
     """(vec_id, v: quantised components) of the vectors that take part."""
     x = F.col("embedding").cast("array<double>")
@@ -133,8 +138,8 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 5, block: int = BLO
     """query_id, rank (from 1), vec_id, score: the k best others of each vector for which ``is_query``, of vec_id, holds."""
     from tessera.llm.common import stored
 
-    own = stored(usable(embeddings), "vectors")
-    queries = stored(own.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    own = stored(usable(embeddings).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    queries = stored(own.filter(is_query), "queries")
     blocks, parts = (max(1, -(-x.count() // y)) for x, y in ((own, block), (queries, asked)))
 
     def dealt(df: DataFrame, name: str, n: int, other: str, copies: int) -> DataFrame:
@@ -142,40 +147,38 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 5, block: int = BLO
 
         The turn is taken in a projection of its own: beside the copies it would differ from copy to copy.
         """
-        turn = df.select("vec_id", "v", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int").alias(name))
+        turn = df.select("row", "vec_id", "v", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int").alias(name))
         return turn.select("*", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other))
 
     index = dealt(own, "block", blocks, "part", parts)
     questions = dealt(queries, "part", parts, "block", blocks)
 
-    def rows(table) -> tuple[np.ndarray, np.ndarray]:
+    def rows(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         v = table.column("v").combine_chunks()
         lengths = v.value_lengths().to_numpy(zero_copy_only=False)
         wide = np.zeros((len(lengths), int(lengths.max(initial=0))), np.int64)
         wide[np.arange(wide.shape[1]) < lengths[:, None]] = v.flatten().to_numpy(zero_copy_only=False)
-        return table.column("vec_id").to_numpy(), wide
+        return table.column("row").to_numpy(), table.column("vec_id").to_numpy(), wide
 
     def run(left, right):
         import pyarrow as pa
 
-        (ids, vectors), (q_ids, q_vectors) = rows(left), rows(right)
-        out: list[list[np.ndarray]] = [[], [], []]
+        (own_rows, ids, vectors), (q_rows, q_ids, q_vectors) = rows(left), rows(right)
+        out: list[list[np.ndarray]] = [[], [], [], []]
         if len(ids) and len(q_ids):
-            if max(np.abs(vectors).max(initial=0), np.abs(q_vectors).max(initial=0)) >= LARGEST:
-                raise ValueError(f"a quantised component reaches {LARGEST}")
             width = max(vectors.shape[1], q_vectors.shape[1])
             vectors, q_vectors = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (vectors, q_vectors))
-            sliced = SlicedBlock(ids, vectors)
-            for q, v in zip(q_ids, q_vectors, strict=True):
-                found, scores = sliced.best(v, k, int(q))
-                for x, y in zip(out, (np.full(len(found), q), found, scores), strict=True):
+            if width * _range(vectors) * _range(q_vectors) >= 1 << 62:
+                raise ValueError("inner products might not fit in a long")
+            sliced = SlicedBlock(ids, vectors, own_rows)
+            for r, q, v in zip(q_rows, q_ids, q_vectors, strict=True):
+                found, scores = sliced.best(v, k, int(r))
+                for x, y in zip(out, (np.full(len(found), r), np.full(len(found), q), found, scores), strict=True):
                     x.append(y)
-        return pa.table([pa.array(np.concatenate(x or [np.zeros(0)]).astype(np.int64)) for x in out], names=["query_id", "vec_id", "score"])
+        return pa.table([pa.array(np.concatenate(x or [np.zeros(0)]).astype(np.int64)) for x in out], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     cell = ("block", "part")
     met = index.groupBy(*cell).cogroup(questions.groupBy(*cell)).applyInArrow(run, SCHEMA)
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")))  # at most k a block
-    merged = met.groupBy("query_id").agg(F.slice(ordered, 1, k).alias("best"))
-    return merged.select("query_id", F.posexplode("best").alias("at", "b")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"),
-    )
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
+    ranked = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)  # Spark keeps the k best of each task before the exchange
+    return ranked.select("query_id", "rank", "vec_id", "score")
