@@ -69,14 +69,14 @@ QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_packing,
 
 OP5_SQL = """
 WITH e AS (
-  SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  SELECT row_number() OVER () AS r, CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.r <> c.r WHERE q.vec_id % 50 = 0
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
@@ -96,14 +96,14 @@ WITH d AS (
 ), repeats AS (
   SELECT r, count(*) AS n FROM places GROUP BY r
 ), l AS (
-  SELECT r, doc_id, source, text, regexp_replace(regexp_replace(lower(trim(line)), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g') AS line,
+  SELECT r, doc_id, source, regexp_replace(regexp_replace(lower(trim(line)), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g') AS line,
     len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
-  FROM (SELECT r, doc_id, source, text, unnest(lines) AS line FROM d)
+  FROM (SELECT r, doc_id, source, unnest(lines) AS line FROM d)
 ), hosts AS (
-  SELECT source, count(DISTINCT text) AS n_host FROM d WHERE NOT nothing GROUP BY source
+  SELECT source, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) AS n_host FROM d WHERE NOT nothing GROUP BY source
 ), boilerplate AS (
-  SELECT c.source, c.line FROM (SELECT source, line, count(DISTINCT text) AS n FROM l GROUP BY source, line) c
-  JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE c.n > 20 AND c.n > h.n_host * 0.02
+  SELECT c.source, c.line FROM (SELECT source, line, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) AS n FROM l GROUP BY source, line) c
+  JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE c.n > 20 AND (c.n > h.n_host * 0.02 OR c.n > 1000)
 ), gone AS (
   SELECT l.r, sum(l.n) AS n FROM l JOIN boilerplate b ON l.source IS NOT DISTINCT FROM b.source AND l.line = b.line GROUP BY l.r
 ), counted AS (
