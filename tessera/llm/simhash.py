@@ -5,8 +5,10 @@ distance - partitions + 1 (-1: the partition is left out), each fingerprint take
 fewest candidates, found by dynamic programming over counts estimated from a fixed-size
 summary of all fingerprints. It probes the index by every value within a partition's threshold, and pairs met are verified.
 
-Work is over distinct fingerprints, so copies cost nothing. A fingerprint whose probes would
-meet more than ``dense`` others isn't probed by its partitions: all such ones
+The number of partitions follows the number of fingerprints (``partitions_for``): fewer and wider ones as it grows, so that a probe keeps meeting few others.
+
+Work is over distinct fingerprints, so copies cost nothing. In a crowd of near fingerprints, which no partition thins out, a fingerprint whose probes would
+meet more than ``dense`` others isn't probed by its partitions: all such ones (their share is logged)
 instead write down the fingerprints within half the distance, and two within the distance share one of them.
 A pair with one dense member is found from the other, so no link is lost, and rows stay linear in the input.
 
@@ -16,15 +18,17 @@ kept in its component and never names one unless it has no other; repeated rows
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import bounded_batches, drop_stored, fresh, stored
 
 BITS = 64
 #: Others that a fingerprint's probes may meet before it counts as dense.
@@ -60,6 +64,8 @@ def fingerprints(texts) -> np.ndarray:
 
 
 def with_fingerprint(documents: DataFrame, name: str = "_fp") -> DataFrame:
+    bounded_batches(documents.sparkSession)
+
     @F.pandas_udf("long")
     def run(texts):
         import pandas as pd
@@ -76,6 +82,24 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(values, np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
+def partitions_for(n: int, distance: int) -> int:
+    """The number of partitions at which ``n`` fingerprints cost least: the probes of one, and what they would meet if bits were even.
+
+    With m partitions thresholds sum up to distance - m + 1; they are dealt evenly here, partitions beyond that sum being left out.
+    """
+
+    def cost(m: int) -> float:
+        total, out = distance + 1, 0.0
+        for i in range(m):
+            width = BITS // m
+            t = total // m + (i < total % m) - 1
+            probes = sum(comb(width, r) for r in range(t + 1))
+            out += probes + probes * n / 2.0**width
+        return out
+
+    return min(range(1, distance + 2), key=cost)
+
+
 def co_occurrence(fps: DataFrame) -> tuple[int, np.ndarray]:
     """(number, 64 x 64 counts of bits set together) of all fingerprints; sums of tasks, a fixed size each."""
 
@@ -220,10 +244,11 @@ def allocated(estimate: np.ndarray, widths: list[int], distance: int, probe_cost
 # -- links
 
 
-def links(fps: DataFrame, distance: int = 2, partitions: int = 3, dense: int = DENSE) -> DataFrame:
+def links(fps: DataFrame, distance: int = 2, partitions: int | None = None, dense: int = DENSE) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp): every pair within ``distance`` is linked, directly
     or, where both are dense, through a chain of such pairs. ``fps`` is read several times and should be stored."""
     n, together = co_occurrence(fps)
+    partitions = partitions or partitions_for(n, distance)
     groups = grouped_bits(n, together, partitions)
     widths = [len(g) for g in groups]
     radius = distance
@@ -261,6 +286,7 @@ def links(fps: DataFrame, distance: int = 2, partitions: int = 3, dense: int = D
     sizes = stored(index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")), "sizes")
     met = asked.join(sizes, ["part", "value"]).groupBy("q").agg(F.sum("n").alias("n"))
     crowded = stored(met.filter(F.col("n") > dense).select("q"), "dense")
+    logging.getLogger(__name__).info("%d of %d fingerprints are dense in %d partitions", crowded.count(), n, partitions)
     # Probes of the others meet only values that at most ``dense`` fingerprints have.
     sparse = asked.join(crowded, "q", "left_anti")
     thin = index.join(sizes.filter(F.col("n") > dense).select("part", "value"), ["part", "value"], "left_anti")
@@ -290,14 +316,14 @@ def links(fps: DataFrame, distance: int = 2, partitions: int = 3, dense: int = D
     return pairs.unionByName(dense_pairs)
 
 
-def components(documents: DataFrame, distance: int = 2, partitions: int = 3, dense: int = DENSE) -> DataFrame:
+def components(documents: DataFrame, distance: int = 2, partitions: int | None = None, dense: int = DENSE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id linked by any chain) of each document."""
     fps, labels = _labels(documents, distance, partitions, dense)
     out = fps.join(labels, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _labels(documents: DataFrame, distance: int, partitions: int, dense: int) -> tuple[DataFrame, DataFrame]:
+def _labels(documents: DataFrame, distance: int, partitions: int | None, dense: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp of each document), (fp, root, component_id, n: rows of the component that have its component_id)."""
     from tessera.llm.components import components as connected
 
@@ -316,15 +342,17 @@ def _labels(documents: DataFrame, distance: int, partitions: int, dense: int) ->
     per_id = tied.groupBy("root", "first").agg(F.sum("n").alias("n"))
     least = per_id.groupBy("root").agg(first("first").alias("f"))
     least = stored(least.select("root", F.col("f.id").alias("component_id"), F.col("f.n").alias("n")), "least")
-    return rows, stored(tied.select("fp", "root").join(least, "root").select("fp", "root", "component_id", "n"), "labels")
+    labels = stored(tied.select("fp", "root").join(least, "root").select("fp", "root", "component_id", "n"), "labels")
+    drop_stored(firsts, roots, least)
+    return rows, labels
 
 
-def keep_first(documents: DataFrame, distance: int = 2, partitions: int = 3, dense: int = DENSE) -> DataFrame:
+def keep_first(documents: DataFrame, distance: int = 2, partitions: int | None = None, dense: int = DENSE) -> DataFrame:
     """The documents, with all their columns, that come first (by doc_id) in their component: one row for each."""
     _, labels = _labels(documents, distance, partitions, dense)
-    names = documents.columns
-    own = labels.select(*(F.col(c).alias(f"_own_{c}") for c in labels.columns))
-    met = with_fingerprint(documents, "_own_print").join(own, F.col("_own_print") == F.col("_own_fp"))
-    met = met.filter(F.col("doc_id").eqNullSafe(F.col("_own_component_id")))
-    once, again = met.filter(F.col("_own_n") == 1), met.filter(F.col("_own_n") > 1).dropDuplicates(["_own_root"])
-    return once.unionByName(again).select(*names)
+    of, fp, root, component_id, n = fresh(documents, "_print", *labels.columns)
+    own = labels.select(*(F.col(c).alias(a) for c, a in zip(labels.columns, (fp, root, component_id, n), strict=True)))
+    met = with_fingerprint(documents, of).join(own, F.col(of) == F.col(fp))
+    met = met.filter(F.col("doc_id").eqNullSafe(F.col(component_id)))
+    once, again = met.filter(F.col(n) == 1), met.filter(F.col(n) > 1).dropDuplicates([root])
+    return once.unionByName(again).select(*documents.columns)
