@@ -20,13 +20,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ordered_sample, worker_state
+from tessera.llm.common import bounded_batches, ordered_sample, worker_state
 
 BUCKETS = 1 << 18
 #: Letters of a word's beginnings that are traits.
 STEMS = (4, 5, 6, 7)
-#: Labelled documents that the fit reads at most: toxic, clean; and the longest text among them, in characters.
-TOXIC_ROWS, CLEAN_ROWS, LONGEST = 1200, 2400, 20_000
+#: Labelled documents that the fit reads at most: toxic, clean; the longest text among them, in characters; and, of their pieces
+#: without a toxic tag, how many the weights are fitted on at least (twice those with one, if that is more).
+TOXIC_ROWS, CLEAN_ROWS, LONGEST, CLEAN_PIECES = 1200, 2400, 20_000, 4000
 THRESHOLD = 0.3
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _WORDS = re.compile(r"\S+")
@@ -135,8 +136,9 @@ def _toxic_traits(words: list[str], ids: np.ndarray, before: np.ndarray, toxic:
     return out
 
 
-def fit(texts: list[str], labels: np.ndarray, base: float, steps: int = 60, piece: int = 64) -> Field:
-    """A field for texts with document labels; ``base`` is the share of toxic documents outside the sample's balance."""
+def fit(texts: list[str], labels: np.ndarray, base: float, steps: int = 60, piece: int = 64, clean_pieces: int = CLEAN_PIECES) -> Field:
+    """A field for texts with document labels; ``base`` is the share of toxic documents outside the sample's balance. Of the sample's pieces without
+    a toxic tag an even choice of about ``clean_pieces`` (or twice those with one) is fitted on; all tokens count for the tags and the score."""
     model = Field(np.zeros(BUCKETS), base=base)
     if len(set(labels.tolist())) < 2:
         return model
@@ -166,7 +168,7 @@ def fit(texts: list[str], labels: np.ndarray, base: float, steps: int = 60, piec
     # Most pieces have clean tags only; those with a toxic one and as many others again are enough for the transitions and weights.
     holds = tags.any(axis=1)
     others = np.flatnonzero(~holds)
-    chosen = np.concatenate([np.flatnonzero(holds), others[:: max(1, len(others) // max(4000, 2 * int(holds.sum())))]])
+    chosen = np.concatenate([np.flatnonzero(holds), others[:: max(1, len(others) // max(clean_pieces, 2 * int(holds.sum())))]])
     rows, tags, mask, n = rows[chosen], tags[chosen], mask[chosen], cuts[chosen]
     theta = np.zeros(BUCKETS + 3)  # start, enter (0 to 1), stay (1 to 1)
     theta[BUCKETS : BUCKETS + 3] = -3, -3, -1
@@ -271,8 +273,9 @@ class Scorer:
         return out
 
 
-def train(documents: DataFrame, labels: DataFrame, learn: Column | None = None, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Field:
-    """Fits a field on at most that many labelled documents (those whose ids hash lowest) for which ``learn``, of doc_id, holds."""
+def train(documents: DataFrame, labels: DataFrame, learn: Column | None = None, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, longest: int = LONGEST, clean_pieces: int = CLEAN_PIECES) -> Field:
+    """Fits a field on at most that many labelled documents (those whose ids hash lowest) of at most ``longest`` characters for which ``learn``, of doc_id,
+    holds; where ids repeat with other texts, on at most twice as many texts (those whose ids and texts hash lowest)."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     if learn is not None:
         marked = marked.filter(learn)
@@ -281,13 +284,15 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column | None = None,
     base = (toxic or 0) / n if n else 0.0
     chosen = ordered_sample(marked.filter("toxic = 1"), "doc_id", toxic_rows).unionByName(ordered_sample(marked.filter("toxic = 0"), "doc_id", clean_rows))
     chosen = documents.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen.collect()], "_own_id long, _own_toxic int")
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= LONGEST))
-    rows = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("_own_id")).select("doc_id", "text", "_own_toxic").orderBy("doc_id", F.xxhash64("text")).limit(2 * (toxic_rows + clean_rows)).collect()
-    return fit([r["text"] for r in rows], np.array([r["_own_toxic"] for r in rows], np.int64), base)
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= longest))
+    rows = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("_own_id")).select("doc_id", "text", "_own_toxic", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(2 * (toxic_rows + clean_rows)).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["h"]))
+    return fit([r["text"] for r in rows], np.array([r["_own_toxic"] for r in rows], np.int64), base, clean_pieces=clean_pieces)
 
 
 def score_column(spark, model: Field, text: Column) -> Column:
     """The score of a text column; the model, of a fixed size, is broadcast."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
