@@ -8,6 +8,10 @@ A unigram model's score is the sum of its pieces' scores. A merge model (BPE, wh
 path on which no two neighbours would have been merged otherwise, so a transition is allowed only between such neighbours,
 which the pieces' merge trees tell; exactly one start is then left at each position that a path reaches.
 
+A long word is cut where no piece holds the two characters that meet, which changes nothing. In a merge model what is longer still
+is searched in overlapping stretches of one length, all advanced together, and their paths are joined where they have a border in common whose
+two pieces may be neighbours: all neighbours of the joined path are allowed then, so it is the one path.
+
 Defined results: null text is empty; empty text has no ids; characters without a piece fall back to bytes, or to the unknown id in
 models without bytes; a literal mark character reads back as a space, as in the library.
 """
@@ -24,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import worker_state
+from tessera.llm.common import bounded_batches, worker_state
 
 MARK = "▁"
 UNIGRAM, MERGES = 1, 2
@@ -33,6 +37,8 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Words encoded at once, in characters.
 AT_ONCE = 400_000
 NEVER = np.iinfo(np.int64).max
+#: Longer words are cut; the stretches of one, and how far each reaches into the next.
+LONG, STRETCH, OVERLAP = 64, 128, 48
 
 
 def proto_fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -75,6 +81,7 @@ class Pieces:
         extra = sorted({c for p in usable for c in p} - usable.keys()) if kind == MERGES else []
         self.symbols = usable | {c: len(entries) + k for k, c in enumerate(extra)}  # characters that stand in pieces only
         self.longest = max(map(len, self.symbols), default=1)
+        self.meets = {p[j : j + 2] for p in self.symbols for j in range(len(p) - 1)}  # characters that stand together in a piece
         self.lone_newline = not any("\n" in p for p in usable)
         texts = list(self.symbols)
         hashes = np.array([self._hash(np.array([ord(c) for c in p], np.uint64)) for p in texts], np.uint64)
@@ -83,6 +90,9 @@ class Pieces:
         if len(np.unique(hashes)) != len(hashes):
             raise ValueError("two pieces have one hash")
         size = len(entries) + len(extra)
+        self.sizes = np.ones(size, np.int64)
+        for p, i in self.symbols.items():
+            self.sizes[i] = len(p)
         self.score = np.zeros(size)
         for p, i in usable.items():
             self.score[i] = entries[i][1]
@@ -152,22 +162,64 @@ class Pieces:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each word, whose first characters may be marks."""
-        out: list[bytes] = [b""] * len(words)
+        short = [w for w in words if len(w) <= LONG]
+        paths = dict(zip(short, self._paths_of(short), strict=True))
+        for w in words:
+            if len(w) > LONG:
+                paths[w] = self._long(w)
+        return [self._ids(w, paths[w]) for w in words]
+
+    def _long(self, word: str) -> np.ndarray:
+        """The path of a long word: by parts between characters that no piece holds together, and those in stretches."""
+        cuts = [0, *(j + 1 for j in range(len(word) - 1) if word[j : j + 2] not in self.meets), len(word)]
+        parts = [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        short = list({p for p in parts if len(p) <= STRETCH or self.kind != MERGES})
+        paths = dict(zip(short, self._paths_of(short), strict=True))
+        for p in parts:
+            if p not in paths:
+                paths[p] = self._joined(p)
+        return np.concatenate([paths[p] for p in parts])
+
+    def _joined(self, part: str) -> np.ndarray:
+        step = STRETCH - OVERLAP
+        starts = [*range(0, len(part) - STRETCH, step), len(part) - STRETCH]
+        path, ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for start, own in zip(starts, self._paths_of([part[s : s + STRETCH] for s in starts]), strict=True):
+            own_ends = start + np.cumsum(self._sizes(own))
+            if start:
+                # Borders of both paths, from the middle of the overlap outwards.
+                both, i, j = np.intersect1d(ends, own_ends, assume_unique=True, return_indices=True)
+                for k in np.argsort(np.abs(both - start - OVERLAP // 2)):
+                    if j[k] + 1 < len(own) and both[k] < ends[-1]:
+                        a, b = path[i[k]], own[j[k] + 1]
+                        if a < 0 or b < 0 or self.neighbours(np.array([a]), np.array([b]))[0]:
+                            path, ends = np.concatenate([path[: i[k] + 1], own[j[k] + 1 :]]), np.concatenate([ends[: i[k] + 1], own_ends[j[k] + 1 :]])
+                            break
+                else:
+                    return self._paths_of([part])[0]
+            else:
+                path, ends = own, own_ends
+        return path
+
+    def _sizes(self, path: np.ndarray) -> np.ndarray:
+        return np.where(path >= 0, self.sizes[path], 1)
+
+    def _paths_of(self, words: list[str]) -> list[np.ndarray]:
+        """The path of each word: symbols, -1 for a character without one."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
         groups: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             groups.setdefault(len(w), []).append(k)
         for length, rows in groups.items():
             step = max(1, AT_ONCE // max(length, 1))
-            for at in range(0, len(rows), step):
+            for at in range(0, len(rows) if length else 0, step):
                 part = rows[at : at + step]
-                for k, ids in zip(part, self._equal(length, [words[k] for k in part]), strict=True):
-                    out[k] = ids
+                for k, path in zip(part, self._equal(length, [words[k] for k in part]), strict=True):
+                    out[k] = path
         return out
 
-    def _equal(self, length: int, words: list[str]) -> list[bytes]:
+    def _equal(self, length: int, words: list[str]) -> list[np.ndarray]:
         n = len(words)
-        if not length:
-            return [b""] * n
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, length).astype(np.uint64)
         found: list[np.ndarray] = []  # by piece length, [word, start] ids or -1
         h = np.zeros((n, length), np.uint64)
@@ -198,10 +250,9 @@ class Pieces:
                     total = best[start] + np.where(piece >= 0, self.score[piece], self.unknown_score if size == 1 else -np.inf)
                 better = total > best[end]
                 best[end][better], last[end][better], back[end][better] = total[better], piece[better], size
-        return self._paths(length, words, last, back)
+        return self._paths(length, n, last, back)
 
-    def _paths(self, length: int, words: list[str], last: np.ndarray, back: np.ndarray) -> list[bytes]:
-        n = len(words)
+    def _paths(self, length: int, n: int, last: np.ndarray, back: np.ndarray) -> list[np.ndarray]:
         at, rows = np.full(n, length), np.arange(n)
         steps: list[np.ndarray] = []
         while len(rows):
@@ -210,14 +261,13 @@ class Pieces:
             steps.append(piece)
             at[rows] -= back[at[rows], rows]
             rows = rows[at[rows] > 0]
-        path = np.array(steps[::-1])  # [step, word], -2: none
-        plain = ((path == -2) | ((path >= 0) & (path < len(self.entries)))).all(axis=0)
-        turned, used = path.T, path.T != -2
-        out = []
-        for k, w in enumerate(words):
-            ids = turned[k][used[k]]
-            out.append(ids.astype("<u4").tobytes() if plain[k] else self._fallback(w, ids))
-        return out
+        turned = np.array(steps[::-1]).T  # [word, step], -2: none
+        used = turned != -2
+        return [turned[k][used[k]] for k in range(n)]
+
+    def _ids(self, word: str, path: np.ndarray) -> bytes:
+        plain = not len(path) or (path.min() >= 0 and path.max() < len(self.entries))
+        return path.astype("<u4").tobytes() if plain else self._fallback(word, path)
 
     def _fallback(self, word: str, ids: np.ndarray) -> bytes:
         """A path with characters that have no piece, as bytes or unknown ids (a run of which is one in unigram models)."""
@@ -354,4 +404,5 @@ def digests(documents: DataFrame, model_path: str) -> DataFrame:
                 columns = [[len(x) // 4 for x in found], [zlib.crc32(x) for x in found], [zlib.crc32(t.encode()) for t in back]]
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), *(pa.array(c, pa.int64()) for c in columns), pa.array([a == b for a, b in zip(texts, back, strict=True)])], names=[x.split()[0] for x in DIGEST.split(", ")])
 
+    bounded_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DIGEST)

@@ -35,7 +35,7 @@ def folder(spark, tmp_path_factory):
 def test_stages(spark, folder):
     import corpus_pipeline as pipeline
     from tessera.llm.simhash import fingerprint
-    from tessera.llm.substrings import removals
+    from tessera.llm.passages import removals
     from tessera.llm.tokens import TextEncoder
 
     path, rows, toxic, passage = folder
