@@ -52,8 +52,8 @@ def matched(pattern: str) -> tuple[Callable, Callable, Callable]:
 
 
 def duplicate_lines(lines: Column) -> Column:
-    """The second occurrence only of each line of more than ten characters."""
-    placed = F.array_sort(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    """The second occurrence only of each line of more than ten characters, from ``_placed``: the lines with their places, sorted once in ``scan``."""
+    placed = F.col("_placed")
     same = lambda i, back: (i >= back) & (F.get(placed, i)["x"].eqNullSafe(F.get(placed, F.greatest(i - back, F.lit(0)))["x"]))
     return F.filter(
         F.transform(placed, lambda s, i: F.when((F.length(s["x"]) > 10) & same(i, 1) & ~same(i, 2), finding("duplicate-line", s["i"] + 1, F.lit(0), F.length(s["x"]), "duplicate"))),
@@ -87,7 +87,8 @@ def rules_dimension(spark, rules: Iterable[Rule] = RULES) -> DataFrame:
 def scan(texts: DataFrame, rules: Iterable[Rule] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, rule_id, line, start, end, message_key of all rules' findings, by one read of the texts."""
     lined = texts.filter(F.col(text).isNotNull()).select(key, F.split(text, "\n").alias("_lines"))
-    # Kept apart from the rules by a column of its own: rules look at the array many times, and it is split once.
+    # Kept apart from the rules by columns of their own: rules look at the arrays many times; they are split and sorted once.
+    lined = lined.withColumn("_placed", F.array_sort(F.transform("_lines", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
     own = [r.find(F.col("_lines")) for r in rules]
     found = F.concat(*own) if len(own) > 1 else own[0]
     return lined.select(key, F.explode(found.cast(f"array<{FINDING}>")).alias("f")).select(key, "f.*")

@@ -79,5 +79,9 @@ def frames(findings: DataFrame, lines: DataFrame, key: str, around: int = 1) ->
 
 
 def exit_code(findings: DataFrame) -> DataFrame:
-    """code: 2 with an error, 1 with a warning, else 0."""
-    return findings.agg(F.coalesce(F.max(F.when(F.col("severity") == "error", 2).otherwise(1)), F.lit(0)).alias("code"))
+    """code: 1 with a finding that is an error, else 0; warnings alone don't fail."""
+    return findings.agg(F.coalesce(F.max((F.col("severity") == "error").cast("int")), F.lit(0)).alias("code"))
+
+
+# What a run's end tells, by the worst thing that happened in it.
+EXITS = {"success": 0, "findings": 1, "source": 2, "invocation": 3, "conflict": 4, "filesystem": 5, "internal": 6, "cancelled": 130}

@@ -289,12 +289,13 @@ def source_union(spark, sf_dir):
 
 
 def _edits(spark, sf_dir) -> DataFrame:
-    """Three candidates a document: edits of its first characters by formulas on doc_id, insertions among them."""
-    own = read(spark, sf_dir, "documents").filter("length(text) >= 40").select("doc_id", "text")
-    d = F.col("doc_id")
-    parts = [("a", d % 7, d % 7 + d % 4, "<A>"), ("a", d % 5 + 12, d % 5 + 14, ""), ("b", d % 9 + 2, d % 9 + 2 + d % 3, "<B>"), ("c", d % 6 + 11, d % 6 + 11, "<C>")]
+    """Five candidates a document: edits by formulas on doc_id, in its middle and at its end, insertions among them; those beyond a short text's end are left out."""
+    own = read(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text")
+    d, size = F.col("doc_id"), F.length("text")
+    half = F.floor(size / 2)
+    parts = [("a", d % 7, d % 7 + d % 4, "<A>"), ("a", d % 5 + 12, d % 5 + 14, ""), ("b", d % 9 + 2, d % 9 + 2 + d % 3, "<B>"), ("c", d % 6 + 11, d % 6 + 11, "<C>"), ("d", half, half + 1, "<D>"), ("e", size, size, "<E>")]
     edit = F.array(*(F.struct(F.lit(c).alias("fix"), s.cast("int").alias("start"), e.cast("int").alias("end"), F.lit(t).alias("new_text")) for c, s, e, t in parts))
-    return own.select("doc_id", "text", F.inline(edit))
+    return own.select("doc_id", "text", F.inline(edit)).filter(F.greatest("start", "end") <= size)
 
 
 @query(oracles.FIX_CONFLICTS)
@@ -311,7 +312,8 @@ def fix_applied_text(spark, sf_dir):
     good = edits.join(fixes.conflicted(edits.drop("text"), "doc_id", "fix"), ["doc_id", "fix"], "left_anti")
     grouped = good.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "new_text")).alias("edits"))
     whole = read(spark, sf_dir, "documents").select("doc_id", "text").join(grouped, "doc_id")
-    return whole.select("doc_id", F.substring(fixes.spliced(F.col("text"), F.col("edits")), 1, 60).alias("head"), F.size("edits").cast("long").alias("n_edits"))
+    done = whole.select("doc_id", fixes.spliced(F.col("text"), F.col("edits")).alias("t"), F.size("edits").cast("long").alias("n_edits"))
+    return done.select("doc_id", F.sha2("t", 256).alias("digest"), F.length("t").cast("long").alias("chars"), "n_edits")
 
 
 @query(oracles.IMPORT_CONFLICTS)

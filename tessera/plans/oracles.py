@@ -91,7 +91,7 @@ SELECT rules.rule_id, count(s) AS findings, count(s) FILTER (WHERE s = 'visible'
 FROM rules LEFT JOIN states USING (rule_id) GROUP BY rules.rule_id
 """
 TIER_REASONS = "SELECT * FROM (VALUES ('lexical', 'long-line,trailing-space'), ('syntax', 'address-like,license-line,secret-like'), ('types', 'adjacent-equal,duplicate-line')) t(tier, rules)"
-EXIT_CODE = f"{_WITH} SELECT CAST(coalesce(max(CASE WHEN severity = 'error' THEN 2 ELSE 1 END), 0) AS INTEGER) AS code FROM d"
+EXIT_CODE = f"{_WITH} SELECT CAST(CASE WHEN count(*) FILTER (WHERE severity = 'error') > 0 THEN 1 ELSE 0 END AS INTEGER) AS code FROM d"
 SELECTED_TIER = "SELECT 'types' AS tier"
 POLICY_RESOLVE = """
 WITH rules(rule_id, presets) AS (VALUES ('long-line', ['style']), ('trailing-space', ['style']), ('secret-like', ['suspicious', 'correctness']),
@@ -177,7 +177,9 @@ edits AS (
     SELECT doc_id, text, 'a' AS fix, doc_id % 7 AS s, doc_id % 7 + doc_id % 4 AS e, '<A>' AS n, 1 AS k FROM documents
     UNION ALL SELECT doc_id, text, 'a', doc_id % 5 + 12, doc_id % 5 + 14, '', 2 FROM documents
     UNION ALL SELECT doc_id, text, 'b', doc_id % 9 + 2, doc_id % 9 + 2 + doc_id % 3, '<B>', 3 FROM documents
-    UNION ALL SELECT doc_id, text, 'c', doc_id % 6 + 11, doc_id % 6 + 11, '<C>', 4 FROM documents) WHERE length(text) >= 40
+    UNION ALL SELECT doc_id, text, 'c', doc_id % 6 + 11, doc_id % 6 + 11, '<C>', 4 FROM documents
+    UNION ALL SELECT doc_id, text, 'd', length(text) // 2, length(text) // 2 + 1, '<D>', 5 FROM documents
+    UNION ALL SELECT doc_id, text, 'e', length(text), length(text), '<E>', 6 FROM documents) WHERE text IS NOT NULL AND length(text) >= greatest(s, e)
 ), bad AS (
   SELECT DISTINCT a.doc_id, a.fix FROM edits a JOIN edits b ON a.doc_id = b.doc_id AND a.k <> b.k AND (
     (a.s < a.e AND b.s < b.e AND a.s < b.e AND b.s < a.e) OR (a.s = a.e AND b.s = b.e AND a.s = b.s)
@@ -194,7 +196,7 @@ WITH RECURSIVE {_EDITS}, good AS (
   UNION ALL
   SELECT s.doc_id, substr(s.t, 1, g.s) || g.n || substr(s.t, g.e + 1), g.r, s.total FROM steps s JOIN good g ON g.doc_id = s.doc_id AND g.r = s.r + 1
 )
-SELECT doc_id, substr(t, 1, 60) AS head, total AS n_edits FROM steps WHERE r = total
+SELECT doc_id, sha256(t) AS digest, CAST(length(t) AS BIGINT) AS chars, total AS n_edits FROM steps WHERE r = total
 """
 IMPORT_CONFLICTS = """
 WITH p AS (SELECT p_size AS path, p_partkey AS fix, p_type AS name, p_brand AS ip FROM part)

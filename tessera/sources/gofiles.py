@@ -16,6 +16,10 @@ FIXTURES = ("testdata",)
 LARGEST = 64 << 20
 PIECES = "path string, ord int, kind string, start int, end int, text string, inserted boolean"
 DIRECTIVES = "path string, ord int, kind string, start int, end int, raw string"
+NODES = "path string, node int, parent int, place int, kind string, start int, end int, line int, name string"
+FINDINGS = "path string, rule_id string, start int, end int, line int, column int, message_key string, severity string, fix_name string, fix_safety string, edits array<struct<start:int,end:int,new_text:string>>"
+FAILURES = "path string, error string"
+FUNCTIONS = "path string, name string, start int, line int, parameters int, results int, nesting int, logical_lines int"
 WAIVERS = "path string, scope string, rule_id string, start int, end int, target_start int, target_end int, reason string, expires_on string, problem string"
 
 
@@ -55,6 +59,95 @@ def pieces(files: DataFrame) -> DataFrame:
     return _mapped(files, PIECES, lambda data: [(k, p.kind, p.start, p.end, p.text.encode("utf-8", "surrogateescape").decode("utf-8", "replace"), p.inserted) for k, p in enumerate(scan(data)[0])])
 
 
+def _batched(files: DataFrame, schema: str, rows) -> DataFrame:
+    """Rows (path, ...) that ``rows(path, bytes)`` makes of each file, a batch of files at a time, in the task that holds them."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        names = [x.split()[0] for x in schema.split(", ")]
+        for batch in batches:
+            out = [(path, *r) for path, data in zip(batch["path"], batch["bytes"], strict=True) for r in rows(path, bytes(data))]
+            if out:
+                yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in names if f" {c} int" in f" {schema}"})
+
+    return files.filter("bytes is not null").select("path", F.col("bytes").cast("binary").alias("bytes")).mapInPandas(run, schema)
+
+
+def nodes(files: DataFrame) -> DataFrame:
+    """Rows of NODES: every node of every file that parses, parents first; ``place`` is that among the parent's."""
+    from tessera.goparse.syntax import GoSyntaxError, parse
+    from tessera.goparse.syntax import rows as flat
+
+    def rows(path: str, data: bytes) -> list[tuple]:
+        try:
+            return flat(parse(data))
+        except GoSyntaxError:
+            return []
+
+    return _batched(files, NODES, rows)
+
+
+def functions(files: DataFrame) -> DataFrame:
+    """Rows of FUNCTIONS: sizes of every declared function with a body."""
+    from tessera.goparse.syntax import GoSyntaxError, parse
+    from tessera.gorules import structure
+
+    def rows(path: str, data: bytes) -> list[tuple]:
+        try:
+            tree = parse(data)
+        except GoSyntaxError:
+            return []
+        own = [d for d in tree.root.decls if d.kind == "FuncDecl" and d.body is not None]
+        return [(d.name.name, d.start, tree.line(d.start), structure.arity(d.type.params), structure.arity(d.type.results), structure.nesting(d.body.body, 0), structure.logical_lines(tree, d.body)) for d in own]
+
+    return _batched(files, FUNCTIONS, rows)
+
+
+def failures(files: DataFrame) -> DataFrame:
+    """Rows of FAILURES: files that don't parse, with the byte offset and reason of the first error."""
+    from tessera.goparse.syntax import GoSyntaxError, parse
+
+    def rows(path: str, data: bytes) -> list[tuple]:
+        try:
+            parse(data)
+        except GoSyntaxError as e:
+            return [(str(e),)]
+        return []
+
+    return _batched(files, FAILURES, rows)
+
+
+def findings(files: DataFrame, names: list[str] | None = None, options: dict[str, dict] | None = None, severities: dict[str, str] | None = None, include_generated: bool = False) -> DataFrame:
+    """Rows of FINDINGS: what the rules find (by id or preset; all but policies where none is named). Files that don't parse have none; see ``failures``.
+
+    One pass over each file runs all rules, each at the kinds of nodes that it asks for; severities (off, warn, error) are by rule.
+    """
+    from tessera.gorules.registry import loaded, selected
+
+    loaded()
+    wanted = [r.rule_id for r in selected(names) if (severities or {}).get(r.rule_id) != "off"]
+
+    def rows(path: str, data: bytes) -> list[tuple]:
+        from bisect import bisect_right
+
+        from tessera.gorules.registry import check, loaded
+
+        loaded()
+        found, error = check(path, data, wanted, options, include_generated)
+        if error or not found:
+            return []
+        starts = [0, *(k + 1 for k, b in enumerate(data) if b == 10)]
+        out = []
+        for f in found:
+            line = bisect_right(starts, f.start)
+            name, safety, edits = f.fix or (None, None, None)
+            out.append((f.rule_id, f.start, f.end, line, f.start - starts[line - 1] + 1, f.message_key, (severities or {}).get(f.rule_id, "warn"), name, safety, None if edits is None else [{"start": a, "end": b, "new_text": t} for a, b, t in edits]))
+        return out
+
+    return _batched(files, FINDINGS, rows)
+
+
 def directives(files: DataFrame, tool: str = "tessera") -> DataFrame:
     """Rows of DIRECTIVES: comments that tools read."""
     from tessera.goparse.directives import kind_of
