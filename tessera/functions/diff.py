@@ -1,8 +1,9 @@
 """Line differences of two texts with bounded work, as unified hunks.
 
 Lines that are unique on both sides anchor the alignment (patience); what stands between anchors is aligned by
-a longest common subsequence where its table has at most ``CELLS`` cells, and replaced as a whole beyond that.
-The bound changes results, so it is part of the definition.
+a longest common subsequence where its table has at most ``CELLS`` cells, and replaced as a whole beyond that. All
+of a difference's tables and all looks at lines add up to ``WORK`` at most, from the first line on, and anchors are sought ``DEEPEST`` levels deep; what is left then is replaced.
+The bounds change results, so they are part of the definition.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CELLS = 1_000_000
+CELLS, WORK, DEEPEST = 1_000_000, 4_000_000, 128
 CONTEXT = 3
 
 
@@ -48,10 +49,8 @@ def _anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _common(a: list[str], b: list[str], cells: int) -> list[tuple[int, int]]:
-    """Pairs of a longest common subsequence, none where its table would be too large."""
-    if not a or not b or len(a) * len(b) > cells:
-        return []
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence."""
     numbers: dict[str, int] = {}
     x, y = (np.array([numbers.setdefault(s, len(numbers)) for s in side]) for side in (a, b))
     table = np.zeros((len(a) + 1, len(b) + 1), np.int32)  # of the suffixes
@@ -70,12 +69,13 @@ def _common(a: list[str], b: list[str], cells: int) -> list[tuple[int, int]]:
     return out
 
 
-def matched(a: list[str], b: list[str], cells: int = CELLS) -> list[tuple[int, int]]:
+def matched(a: list[str], b: list[str], cells: int = CELLS, work: int = WORK, deepest: int = DEEPEST) -> list[tuple[int, int]]:
     """Pairs of equal lines, increasing on both sides."""
     out: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
+    todo = [(0, len(a), 0, len(b), 0)]
+    done = 0
     while todo:
-        i, n, j, m = todo.pop()
+        i, n, j, m, depth = todo.pop()
         while i < n and j < m and a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
@@ -84,19 +84,31 @@ def matched(a: list[str], b: list[str], cells: int = CELLS) -> list[tuple[int, i
             out.append((n, m))
         if i == n or j == m:
             continue
+        done += n - i + m - j
+        if depth >= deepest or done > work:
+            continue
         anchors = _anchors(a[i:n], b[j:m])
         if not anchors:
-            out += [(i + p, j + q) for p, q in _common(a[i:n], b[j:m], cells)]
+            size = (n - i + 1) * (m - j + 1)
+            if size <= min(cells, work - done):
+                done += size
+                out += [(i + p, j + q) for p, q in _common(a[i:n], b[j:m])]
             continue
-        at = i, j
-        for p, q in anchors:
-            out.append((i + p, j + q))
-            todo.append((at[0], i + p, at[1], j + q))
-            at = i + p + 1, j + q + 1
-        todo.append((at[0], n, at[1], m))
+        out += [(i + p, j + q) for p, q in anchors]
+        edges = [(i, j), *((i + p + 1, j + q + 1) for p, q in anchors)]
+        ends = [*((i + p, j + q) for p, q in anchors), (n, m)]
+        # The work that is left goes to the first stretches first.
+        todo += [(p, pn, q, qn, depth + 1) for (p, q), (pn, qn) in reversed(list(zip(edges, ends, strict=True)))]
     return sorted(out)
 
 
+def label(name: str) -> str:
+    """A file's name as it stands in a header: quoted where it holds a tab or a line end."""
+    if not any(c in name for c in "\t\r\n"):
+        return name
+    return '"' + "".join({"\t": "\\t", "\r": "\\r", "\n": "\\n", '"': '\\"', "\\": "\\\\"}.get(c, c) for c in name) + '"'
+
+
 def unified(before: str, after: str, name: str = "", context: int = CONTEXT) -> str:
     """A unified difference, empty for equal texts."""
     if before == after:
@@ -117,7 +129,7 @@ def unified(before: str, after: str, name: str = "", context: int = CONTEXT) ->
             hunks[-1][1] = last
         else:
             hunks.append([first, last])
-    out = [f"--- {name}\n+++ {name}\n"]
+    out = [f"--- {label(name)}\n+++ {label(name)}\n"]
     for first, last in hunks:
         own = steps[first:last]
         n, m = sum(s != "+" for s, _, _ in own), sum(s != "-" for s, _, _ in own)

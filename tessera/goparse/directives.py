@@ -7,7 +7,7 @@ from bisect import bisect_right
 from dataclasses import dataclass
 from datetime import date
 
-from tessera.goparse.scanner import Piece
+from tessera.goparse.scanner import Piece, rebuilt
 
 TOOL = "tessera"
 SCOPES = {"ignore": "next-line", "ignore-line": "line", "ignore-start": "range", "ignore-end": "range", "ignore-file": "file"}
@@ -53,80 +53,103 @@ class _Bad(Exception):
     pass
 
 
-def _read(text: str) -> tuple[str, str, str, str]:
-    """(label, rule, reason, expiry) of what stands behind the tool's name; _Bad(kind, message) where it breaks the grammar."""
-    label, _, rest = text.strip().partition(" ") if " " in text.strip() else (text.strip(), "", "")
+@dataclass(frozen=True)
+class _Read:
+    """A directive's parts; ``reason`` is None where there is no ``--``."""
+
+    piece: Piece
+    label: str
+    rule: str
+    reason: str | None
+    expiry: str = ""
+
+
+def _shape(piece: Piece, text: str) -> _Read:
+    """Label, rule and reason, apart by any white space; _Bad where the grammar is broken."""
+    label, *rest = text.split(None, 1) or [""]
+    if not rest:
+        raise _Bad("malformed", "a suppression names a rule")
     if label not in SCOPES:
-        raise _Bad("malformed", f"unknown suppression {label}" if rest else "a suppression names a rule")
-    rule, dashes, reason = rest.partition("--")
+        raise _Bad("malformed", f"unknown suppression {label}")
+    rule, dashes, reason = rest[0].partition("--")
     if len(rule.split()) != 1:
         raise _Bad("malformed", "a suppression names exactly one rule")
-    reason, expiry = reason.strip(), ""
-    if reason.startswith("expires="):
+    return _Read(piece, label, rule.strip(), reason.strip() if dashes else None)
+
+
+def _judged(own: _Read, known: set[str] | None, today: str | None, need_reason: bool) -> _Read:
+    """The directive with its expiry taken out of the reason; _Bad for the first thing that is wrong with it."""
+    if known is not None and own.rule not in known:
+        raise _Bad("unknown-rule", f"no rule is called {own.rule}")
+    if own.label == "ignore-end":
+        if own.reason is not None:
+            raise _Bad("malformed", "the end of a range has no reason")
+        return own
+    reason, expiry = own.reason, ""
+    if reason is not None and reason.startswith("expires="):
         first, *more = reason.split(None, 1)
-        expiry, reason = first.removeprefix("expires="), (more or [""])[0].strip()
+        expiry, reason = first.removeprefix("expires="), more[0] if more else ""
         try:
             if date.fromisoformat(expiry).isoformat() != expiry:
                 raise ValueError
         except ValueError:
             raise _Bad("invalid-expiry", "an expiry is a date, YYYY-MM-DD") from None
-    return label, rule.strip(), reason, expiry
+    if reason == "" or need_reason and reason is None:
+        raise _Bad("missing-reason", "a suppression says why")
+    if today is not None and expiry and expiry <= today:
+        raise _Bad("expired", f"the suppression of {own.rule} has expired")
+    return _Read(own.piece, own.label, own.rule, reason or "", expiry)
+
+
+def _ranges(own: list[_Read]):
+    """Of one rule's starts and ends, in order: suppressions from a start to the next end, and the problems of those without a partner."""
+    opened: _Read | None = None
+    for d in own:
+        if d.label == "ignore-start":
+            if opened is None:
+                opened = d
+            else:
+                yield Problem("nested-range", d.piece.start, d.piece.end, f"a range of {d.rule} is open")
+        elif opened is None:
+            yield Problem("unmatched-range-end", d.piece.start, d.piece.end, f"no range of {d.rule} is open")
+        else:
+            yield Suppression("range", d.rule, opened.piece.start, opened.piece.end, opened.piece.end, d.piece.start, opened.reason or "", opened.expiry)
+            opened = None
+    if opened is not None:
+        yield Problem("unclosed-range", opened.piece.start, opened.piece.end, f"the range of {opened.rule} isn't closed")
 
 
 def suppressions(pieces: list[Piece], size: int, known: set[str] | None = None, today: str | None = None, need_reason: bool = False, tool: str = TOOL) -> tuple[list[Suppression], list[Problem]]:
     """(suppressions by start and rule, problems by start, end, kind and message) of a file's pieces.
 
-    A range opened twice, never opened or never closed is a problem; so is a file-wide one behind the package clause, an unknown rule, and, if
-    asked for, a missing reason. An expired suppression is a problem and holds for nothing.
+    A range opened twice, never opened or never closed is a problem; so is a file-wide one behind the package clause, an unknown rule, a reason
+    that is empty or, if asked for, absent, and one at a range's end. An expired suppression is a problem and holds for nothing.
     """
-    starts = [0] + [p.end for p in pieces if p.kind == "newline"] + [p.start + k + 1 for p in pieces if p.kind == "block_comment" for k, c in enumerate(p.text.encode()) if c == 10]
-    starts.sort()
+    starts = [0, *(k + 1 for k, byte in enumerate(rebuilt(pieces)) if byte == 10)]
     package = next((p.start for p in pieces if p.kind == "keyword" and p.text == "package"), size)
 
-    def line(offset: int, later: int = 0) -> tuple[int, int]:
+    def line(offset: int, later: int) -> tuple[int, int]:
         k = bisect_right(starts, offset) - 1 + later
-        if k >= len(starts):
-            return size, size
-        return starts[k], starts[k + 1] - 1 if k + 1 < len(starts) else size
+        return (size, size) if k >= len(starts) else (starts[k], starts[k + 1] - 1 if k + 1 < len(starts) else size)
 
-    found: list[Suppression] = []
-    problems: list[Problem] = []
-    opened: dict[str, tuple[Piece, str, str]] = {}
+    out: list[Suppression | Problem] = []
+    ranges: dict[str, list[_Read]] = {}
     for p in pieces:
         if p.kind != "line_comment" or kind_of(p.text, tool) != "suppression":
             continue
-        say = lambda kind, message, p=p: problems.append(Problem(kind, p.start, p.end, message))
         try:
-            label, rule, reason, expiry = _read(p.text[len(tool) + 3 :].rstrip("\r"))
+            own = _judged(_shape(p, p.text[len(tool) + 3 :]), known, today, need_reason)
         except _Bad as e:
-            say(*e.args)
-            continue
-        if known is not None and rule not in known:
-            say("unknown-rule", f"no rule is called {rule}")
-            continue
-        if label == "ignore-end":
-            if rule in opened:
-                first, why, until = opened.pop(rule)
-                found.append(Suppression("range", rule, first.start, first.end, first.end, p.start, why, until))
-            else:
-                say("unmatched-range-end", f"no range of {rule} is open")
-            continue
-        if need_reason and not reason:
-            say("missing-reason", "a suppression says why")
-            continue
-        if today is not None and expiry and expiry <= today:
-            say("expired", f"the suppression of {rule} has expired")
-            continue
-        if label == "ignore-start":
-            if rule in opened:
-                say("nested-range", f"a range of {rule} is open")
-            else:
-                opened[rule] = p, reason, expiry
-            continue
-        if label == "ignore-file" and p.start > package:
-            say("misplaced-file-scope", "a file's suppression stands before the package clause")
+            out.append(Problem(e.args[0], p.start, p.end, e.args[1]))
             continue
-        target = (0, size) if label == "ignore-file" else line(p.start, int(label == "ignore"))
-        found.append(Suppression(SCOPES[label], rule, p.start, p.end, *target, reason, expiry))
-    problems += [Problem("unclosed-range", p.start, p.end, f"the range of {rule} isn't closed") for rule, (p, _, _) in opened.items()]
+        if SCOPES[own.label] == "range":
+            ranges.setdefault(own.rule, []).append(own)
+        elif own.label == "ignore-file" and p.start > package:
+            out.append(Problem("misplaced-file-scope", p.start, p.end, "a file's suppression stands before the package clause"))
+        else:
+            target = (0, size) if own.label == "ignore-file" else line(p.start, int(own.label == "ignore"))
+            out.append(Suppression(SCOPES[own.label], own.rule, p.start, p.end, *target, own.reason or "", own.expiry))
+    for own in ranges.values():
+        out += _ranges(own)
+    found, problems = [x for x in out if isinstance(x, Suppression)], [x for x in out if isinstance(x, Problem)]
     return sorted(found, key=lambda s: (s.start, s.rule_id)), sorted(problems, key=lambda p: (p.start, p.end, p.kind, p.message))
