@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def suppressed(findings: DataFrame, directives: DataFrame, key: list[str], identity: list[str]) -> DataFrame:
-    """Each finding (told apart by ``identity``) with the first directive, in their order ``ord``, that holds its start, or null.
+def suppressed(findings: DataFrame, directives: DataFrame, key: list[str], at: str = "line") -> DataFrame:
+    """Each finding with the first directive, in their order ``ord``, that holds its place (the column ``at``: a line, or the offset of its start), or null.
 
     ``directives`` (key..., first, last, ord) are grouped into one array a key, so the join is an equi join and
     no finding is multiplied by the directives that it is held against.
     """
     lists = directives.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", "first", "last"))).alias("_ds"))
     met = findings.join(lists, key, "left")
-    hit = F.filter("_ds", lambda d: (d["first"] <= F.col("line")) & (F.col("line") < d["last"]))
+    hit = F.filter("_ds", lambda d: (d["first"] <= F.col(at)) & (F.col(at) < d["last"]))
     return met.withColumn("directive", F.get(hit, F.lit(0))["ord"]).drop("_ds")
 
 

@@ -204,7 +204,7 @@ def _directives(spark, sf_dir) -> DataFrame:
 
 
 def _suppressed(spark, sf_dir) -> DataFrame:
-    return waivers.suppressed(all_diagnostics(spark, sf_dir), _directives(spark, sf_dir), ["doc_id"], ORDER)
+    return waivers.suppressed(all_diagnostics(spark, sf_dir), _directives(spark, sf_dir), ["doc_id"])
 
 
 @query(oracles.SUPPRESS_APPLY)
@@ -275,7 +275,7 @@ def target_unused_intersect(spark, sf_dir):
     documents = read(spark, sf_dir, "documents").select("doc_id")
     seen = documents.withColumn("target", F.lit("linux")).unionByName(documents.filter("doc_id % 3 <> 0").withColumn("target", F.lit("darwin")))
     own = directives.join(seen, "doc_id")
-    met = waivers.suppressed(found.filter("rule_id <> 'duplicate-line' or target = 'linux'"), own, ["doc_id", "target"], ORDER)
+    met = waivers.suppressed(found.filter("rule_id <> 'duplicate-line' or target = 'linux'"), own, ["doc_id", "target"])
     return targets.unused_everywhere(waivers.unused(own, met, ["doc_id", "target"]), seen, ["doc_id", "ord"], "doc_id")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.gorules import registry
 from tessera.plans.gocases import Case, cases
-from tessera.sources import gofiles
+from tessera.sources import gofiles, settings
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -110,6 +110,73 @@ def go_complexity(spark, sf_dir):
     return gofiles.findings(_functions(spark, sf_dir), ["complexity"], {"too-many-lines": {"maximum": 40}}).select("path", "rule_id")
 
 
+# Code before and after its fixes; the third's two fixes conflict, the fourth's fix leaves an import unused.
+FIXES = [
+    ("package p\n\nfunc f(a bool) { g(a == true, é) }\n", "package p\n\nfunc f(a bool) { g(a, é) }\n", 1),
+    ("package p\n\nfunc f(a []int) { if a != nil && len(a) > 0 { g() }; var x int = 1; g(x) }\n", "package p\n\nfunc f(a []int) { if len(a) > 0 { g() }; var x = 1; g(x) }\n", 2),
+    ("package p\n\nfunc f(a []int) { g((a != nil && len(a) > 0) == true) }\n", "package p\n\nfunc f(a []int) { g((a != nil && len(a) > 0) == true) }\n", 0),
+    ('package p\n\nimport (\n\t"fmt"\n\t"os"\n)\n\nfunc f() { g(fmt.Sprintf("x"), os.Args) }\n', 'package p\n\nimport (\n\t"os"\n)\n\nfunc f() { g("x", os.Args) }\n', 1),
+]
+
+
+def _sql(text: str) -> str:
+    return " || ".join("'" + line.replace("'", "''") + "'" for line in text.split("\n")).replace("' || '", "' || chr(10) || '").replace("\t", "' || chr(9) || '")
+
+
+@query("SELECT 'r' || s_suppkey || '.go' AS path, sha256(repeat('// a line' || chr(10), CAST(s_nationkey AS INTEGER)) || chr(10) || e.code) AS digest, CAST(e.applied AS INTEGER) AS applied FROM supplier JOIN (VALUES "
+       + ", ".join(f"({i}, {_sql(after)}, {n})" for i, (_, after, n) in enumerate(FIXES)) + f") e(c, code, applied) ON s_suppkey % {len(FIXES)} = e.c")
+def go_fixed(spark, sf_dir):
+    """Fixed files: safe fixes and suggestions, conflicts refused, imports pruned."""
+    own = files(spark, sf_dir, [Case(before, ()) for before, _, _ in FIXES])
+    return gofiles.fixed(own, ["redundant-bool-comparison", "redundant-nil-check", "redundant-type-declaration", "unnecessary-format"], ("safe", "suggestion")).select("path", "digest", "applied")
+
+
+@query("SELECT 'r' || s_suppkey || '.go' AS path, callee, caller FROM supplier, (VALUES ('strings.ToUpper', 'f'), ('f', 'h'), ('(strings.Builder).String', 'h'), ('len', NULL)) e(callee, caller)")
+def go_calls(spark, sf_dir):
+    """Calls and their callees: packages' functions, the file's own, methods, builtins."""
+    code = 'package p\n\nimport up "strings"\n\nvar n = len(x)\n\nfunc f(s string) string { return up.ToUpper(s) }\n\nfunc h() {\n\tvar b up.Builder\n\tf(b.String())\n\tunknown()\n}\n'
+    return gofiles.calls(files(spark, sf_dir, [Case(code, ())])).select("path", "callee", "caller")
+
+
+@query("""SELECT 'p' || p_partkey || '.go' AS path, name, CAST(value AS VARCHAR) AS value FROM part, LATERAL (SELECT unnest(['a', 'b', 'c', 'd', 'e']) AS name,
+  unnest([CAST(CAST(-p_partkey AS BIGINT) // p_size AS VARCHAR), CAST(-(p_partkey % p_size) AS VARCHAR), CAST(CAST(1 AS HUGEINT) << 100 AS VARCHAR), CASE WHEN p_size > 25 AND p_partkey % 2 = 0 THEN 'true' ELSE 'false' END, 'x' || p_size]) AS value)""")
+def go_constants(spark, sf_dir):
+    """Constants of files made from parts: truncated quotients, remainders, large shifts, truth values, strings."""
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("package p\n\nconst (\n\ta = -"), k, F.lit(" / "), n, F.lit("\n\tb = -"), k, F.lit(" % "), n, F.lit("\n\tc = 1 << 100\n\td = "), n, F.lit(" > 25 && "), k, F.lit(" % 2 == 0\n\te = \"x\" + `"), n, F.lit("`\n)\n"))
+    own = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("p"), k, F.lit(".go")).alias("path"), text.cast("binary").alias("bytes"))
+    return gofiles.constants(own).select("path", "name", "value")
+
+
+@query("""WITH f AS (SELECT p_partkey, p_size, unnest([5, 6, 8]) AS line FROM part),
+s AS (SELECT *, CASE WHEN line = 5 AND p_partkey % 2 = 0 OR line = 8 THEN 1 ELSE 0 END AS gone FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey, gone ORDER BY line) AS k FROM s)
+SELECT 'p' || p_partkey || '.go' AS path, CAST(line AS INTEGER) AS line, CASE WHEN gone = 1 THEN 'suppressed' WHEN k <= p_size % 3 THEN 'baselined' ELSE 'visible' END AS disposition FROM r""")
+def go_dispositions(spark, sf_dir):
+    """Findings of files made from parts: suppressed by directives, hidden by a baseline with counts, or visible."""
+    even = F.col("p_partkey") % 2 == 0
+    text = F.concat(
+        F.lit("package p\n\nfunc f(a int) {\n"), F.when(even, "\t//tessera:ignore self-assignment -- known\n").otherwise("\t// a line\n"), F.lit("\ta = a\n\ta = a\n\t//tessera:ignore-start self-assignment\n\ta = a\n\t//tessera:ignore-end self-assignment\n}\n")
+    )
+    own = spark.read.parquet(f"{sf_dir}/part.parquet")
+    path = F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".go"))
+    base = own.filter("p_size % 3 > 0").select(F.lit("self-assignment").alias("rule_id"), path.alias("path"), F.lit("self-assignment").alias("message_key"), (F.col("p_size") % 3).cast("int").alias("count"))
+    return gofiles.lint(own.select(path.alias("path"), text.cast("binary").alias("bytes")), {"self-assignment": "warn"}, baseline=base).select("path", "line", "disposition")
+
+
+@query("SELECT 'r' || s_suppkey || '.go' AS path FROM supplier WHERE s_suppkey % 2 = 1")
+def go_generated_filter(spark, sf_dir):
+    """Generated files are left out."""
+    code = "package p\n\nfunc f(a int) { a = a }\n"
+    return gofiles.findings(files(spark, sf_dir, [Case("// Code generated by x. DO NOT EDIT.\n\n" + code, ()), Case(code, ())]), ["self-assignment"]).select("path")
+
+
+@query("SELECT profile, CAST(n AS BIGINT) AS rules FROM (VALUES " + ", ".join(f"('{p}', {sum(bool(set(presets) & set(r.presets)) or p == 'recommended' and k in settings.RECOMMENDED for k, r in registry.RULES.items())})" for p, presets in settings.PROFILES.items()) + ") t(profile, n)")
+def profile_rules(spark, sf_dir):
+    """Rules that each profile switches on, counted."""
+    return settings.profiles(spark, registry.RULES).groupBy("profile").agg(F.count(F.lit(1)).alias("rules"))
+
+
 @query("SELECT 'r' || s_suppkey || '.go' AS path FROM supplier WHERE s_suppkey % 2 = 1")
 def go_failures(spark, sf_dir):
     """Files that don't parse."""

@@ -19,6 +19,9 @@ DIRECTIVES = "path string, ord int, kind string, start int, end int, raw string"
 NODES = "path string, node int, parent int, place int, kind string, start int, end int, line int, name string"
 FINDINGS = "path string, rule_id string, start int, end int, line int, column int, message_key string, severity string, fix_name string, fix_safety string, edits array<struct<start:int,end:int,new_text:string>>"
 FAILURES = "path string, error string"
+FIXED = "path string, bytes binary, digest string, applied int, refused array<struct<rule_id:string,name:string,reason:string>>"
+CALLS = "path string, start int, end int, line int, callee string, caller string"
+CONSTANTS = "path string, name string, line int, value string"
 FUNCTIONS = "path string, name string, start int, line int, parameters int, results int, nesting int, logical_lines int"
 WAIVERS = "path string, scope string, rule_id string, start int, end int, target_start int, target_end int, reason string, expires_on string, problem string"
 
@@ -148,6 +151,93 @@ def findings(files: DataFrame, names: list[str] | None = None, options: dict[str
     return _batched(files, FINDINGS, rows)
 
 
+def fixed(files: DataFrame, names: list[str] | None = None, allowed: tuple[str, ...] = ("safe",)) -> DataFrame:
+    """Rows of FIXED: every file that parses, with its findings' fixes of the allowed safety classes applied, and those that were refused."""
+    from tessera.gorules.registry import loaded, selected
+
+    loaded()
+    wanted = [r.rule_id for r in selected(names)]
+
+    def rows(path: str, data: bytes) -> list[tuple]:
+        from hashlib import sha256
+
+        from tessera.gorules.fixing import Candidate
+        from tessera.gorules.fixing import fixed as done
+        from tessera.gorules.registry import check, loaded
+
+        loaded()
+        found, error = check(path, data, wanted)
+        if error:
+            return []
+        new, applied, refused = done(data, [Candidate(f.rule_id, *f.fix) for f in found if f.fix], allowed)
+        return [(new, sha256(new).hexdigest(), len(applied), [{"rule_id": c.rule_id, "name": c.name, "reason": r} for c, r in refused])]
+
+    return _batched(files, FIXED, rows)
+
+
+def calls(files: DataFrame) -> DataFrame:
+    """Rows of CALLS: every call whose callee the file tells, by symbol, and the function that it stands in (null outside of one)."""
+    from tessera.goparse.facts import Facts
+    from tessera.goparse.syntax import GoSyntaxError, parse
+
+    def rows(path: str, data: bytes) -> list[tuple]:
+        try:
+            tree = parse(data)
+        except GoSyntaxError:
+            return []
+        facts, out = Facts(tree), []
+        for d in tree.root.decls:
+            caller = d.name.name if d.kind == "FuncDecl" else None
+            for n in d.walk():
+                if n.kind == "Call":
+                    own = facts.decl(n.fun) if n.fun.kind == "Ident" else None
+                    name = facts.callee(n) or (own.name if own is not None and own.kind == "func" else None)
+                    if name is not None:
+                        out.append((n.start, n.end, tree.line(n.start), name, caller))
+        return out
+
+    return _batched(files, CALLS, rows)
+
+
+def constants(files: DataFrame) -> DataFrame:
+    """Rows of CONSTANTS: declared constants whose values can be told, exactly."""
+    from tessera.goparse.facts import Facts
+    from tessera.goparse.syntax import GoSyntaxError, parse
+
+    def rows(path: str, data: bytes) -> list[tuple]:
+        try:
+            tree = parse(data)
+        except GoSyntaxError:
+            return []
+        facts = Facts(tree)
+        found = [(d.name, tree.line(d.node.start), facts.constant(d.node)) for d in facts.declared if d.kind == "const" and d.name != "_"]
+        return [(name, line, str(v).lower() if isinstance(v, bool) else str(v)) for name, line, v in found if v is not None]
+
+    return _batched(files, CONSTANTS, rows)
+
+
+def lint(files: DataFrame, severities: dict[str, str], options: dict[str, dict] | None = None, baseline: DataFrame | None = None, today: str | None = None) -> DataFrame:
+    """Findings of all files with ``disposition``: suppressed by the first directive in the file that holds their start, baselined, or visible.
+
+    ``baseline`` (rule_id, path, message_key, count) hides the first findings of its keys, in canonical order.
+    """
+    from pyspark.sql import Window
+
+    from tessera.operators import waivers as waive
+
+    found = findings(files, list(severities), options, severities)
+    own = waivers(files, list(severities), today).filter("problem is null")
+    order = F.row_number().over(Window.partitionBy("path").orderBy("start", "rule_id"))
+    held = own.withColumn("ord", order).select("path", "rule_id", "ord", F.col("target_start").alias("first"), F.col("target_end").alias("last"))
+    met = waive.suppressed(found, held, ["path", "rule_id"], "start")
+    if baseline is None:
+        return met.withColumn("disposition", F.when(F.col("directive").isNotNull(), "suppressed").otherwise("visible"))
+    key = ["rule_id", "path", "message_key"]
+    rest = waive.apply_baseline(met.filter("directive is null"), baseline, key, ["start", "end"])
+    rest = rest.withColumn("disposition", F.when(F.col("hidden"), "baselined").otherwise("visible")).drop("hidden")
+    return rest.unionByName(met.filter("directive is not null").withColumn("disposition", F.lit("suppressed")))
+
+
 def directives(files: DataFrame, tool: str = "tessera") -> DataFrame:
     """Rows of DIRECTIVES: comments that tools read."""
     from tessera.goparse.directives import kind_of
