@@ -13,7 +13,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round links every node's larger neighbours to the smallest of its neighbourhood, then each
     node's smaller neighbours likewise, over edges held once in a stored table; rounds end when
-    nothing changes. A node with many neighbours is met by partial aggregation, and by joins of stored tables, which adaptive execution can split.
+    nothing changes. Nulls are no nodes: an edge with one is left out. A node with many neighbours is met by partial aggregation, and by joins of stored tables, which adaptive execution can split.
     """
     pairs = stored(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     for _ in range(most_rounds):
@@ -35,4 +35,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components need more than {most_rounds} rounds")
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._tessera_path = pairs._tessera_path  # for drop_stored
+    return out

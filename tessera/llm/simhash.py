@@ -337,7 +337,7 @@ def _labels(documents: DataFrame, distance: int, partitions: int | None, dense:
     by_id = rows.groupBy("fp", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     firsts = by_id.groupBy("fp").agg(first("doc_id").alias("f")).select("fp", F.col("f.id").alias("first"), F.col("f.n").alias("n"))
     firsts = stored(firsts, "distinct")
-    roots = stored(connected(links(firsts, distance, partitions, dense)), "roots")
+    roots = connected(links(firsts, distance, partitions, dense))
     tied = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     per_id = tied.groupBy("root", "first").agg(F.sum("n").alias("n"))
     least = per_id.groupBy("root").agg(first("first").alias("f"))
