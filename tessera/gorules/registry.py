@@ -151,6 +151,6 @@ def check(path: str, source: bytes, names: Iterable[str] | None = None, options:
 
 def loaded() -> dict[str, Rule]:
     """All rules, after their modules have been imported."""
-    from tessera.gorules import bodies, calls, conventions, structure, values  # noqa: F401
+    from tessera.gorules import bodies, calls, conventions, flow, structure, values  # noqa: F401
 
     return RULES

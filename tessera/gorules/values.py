@@ -409,3 +409,23 @@ def always(c: Context, n: Node):
     if n.kind == "Binary":
         return folded(n.word, always(c, n.x), always(c, n.y))
     return c.facts.constant(n)
+
+
+@rule("impossible-type-assertion", "types", "correctness", "no value has both interfaces: a method differs", "TypeAssert TypeSwitch")
+def impossible_type_assertion(c: Context, n: Node):
+    def methods(t: str | None) -> dict[str, str | None]:
+        own = c.facts.package.get(t[1:]) if t and t[0] == "@" else None
+        if own is None or own.type is None or own.type.kind != "InterfaceType":
+            return {}
+        return {f.names[0].name: c.facts.type_string(f.type) for f in own.type.elems if f.names}
+
+    def differ(x: Node, to: Node) -> bool:
+        a, b = methods(c.facts.type_of(x)), methods(c.facts.type_string(to))
+        return any(a[k] and b[k] and a[k] != b[k] for k in a.keys() & b.keys())
+
+    if n.kind == "TypeAssert":
+        if n.type is not None and differ(n.x, n.type):
+            yield n, "impossible-type-assertion"
+    else:
+        guard = n.assign.right[0] if n.assign.kind == "Assign" else n.assign.x
+        yield from ((case, "impossible-type-assertion") for clause in n.clauses for case in clause.cases if differ(guard.x, case))

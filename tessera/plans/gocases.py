@@ -417,7 +417,86 @@ TEXT = r"""
 @overwritten-error
 + [os] err := os.Remove("a"); err = os.Remove("b"); g(err)
 - [os] err := os.Remove("a"); g(err); err = os.Remove("b"); g(err)
+@resource-not-closed
++ [os] f, err := os.Open("x"); if err != nil { return }; f.Read(nil)
++ [os] (a bool) f, err := os.Open("x"); if err != nil { return }; if a { return }; f.Close()
+- [os] f, err := os.Open("x"); if err != nil { return }; defer f.Close(); f.Read(nil)
+- [os] f, err := os.Open("x"); if err != nil { return }; keep(f)
+- [os] (a bool) f, err := os.Open("x"); if err != nil { return }; if a { f.Close(); return }; f.Close()
+- [os] f, err := os.Open("x"); if err == nil { f.Close() }
+@context-cancel-leak
++ [context] (c context.Context, a bool) d, cancel := context.WithCancel(c); if a { return }; g(d); cancel()
++ [context] (c context.Context) d, _ := context.WithCancel(c); g(d)
+- [context] (c context.Context) d, cancel := context.WithCancel(c); defer cancel(); g(d)
+- [context] (c context.Context) d, cancel := context.WithCancel(c); g(d, cancel)
+@sql-transaction-not-completed
++ [database/sql] (db *sql.DB) t, err := db.Begin(); if err != nil { return }; t.Exec("x")
+- [database/sql] (db *sql.DB) t, err := db.Begin(); if err != nil { return }; defer t.Rollback(); t.Commit()
+@http-response-body-not-closed
++ [net/http] r, err := http.Get("x"); if err != nil { return }; g(r.StatusCode)
+- [net/http] r, err := http.Get("x"); if err != nil { return }; defer r.Body.Close(); g(r.StatusCode)
+@writer-not-finalized
++ [compress/gzip] (o io.Writer) w := gzip.NewWriter(o); w.Write(nil)
+- [compress/gzip] (o io.Writer) w := gzip.NewWriter(o); w.Write(nil); w.Close()
+@unchecked-rows-error
++ [database/sql] (db *sql.DB) r, err := db.Query("x"); g(err); for r.Next() { g() }
+- [database/sql] (db *sql.DB) r, err := db.Query("x"); g(err); for r.Next() { g() }; g(r.Err())
+@unchecked-scanner-error
++ [bufio os] s := bufio.NewScanner(os.Stdin); for s.Scan() { g(s.Text()) }
+- [bufio os] s := bufio.NewScanner(os.Stdin); for s.Scan() { g(s.Text()) }; if s.Err() != nil { g() }
+@unchecked-csv-writer-error
++ [encoding/csv os] w := csv.NewWriter(os.Stdout); w.Flush()
++ [encoding/csv os] w := csv.NewWriter(os.Stdout); defer w.Flush()
+- [encoding/csv os] w := csv.NewWriter(os.Stdout); w.Flush(); g(w.Error())
+@lock-not-released
++ [sync] (m *sync.Mutex, a bool) m.Lock(); if a { return }; m.Unlock()
+- [sync] (m *sync.Mutex, a bool) m.Lock(); defer m.Unlock(); if a { return }
+- [sync] (m *sync.Mutex) m.Lock()
+- [sync] (m *sync.Mutex, a bool) m.Lock(); if a { m.Unlock(); return }; m.Unlock()
+@lock-held-across-blocking-call
++ [sync time] (m *sync.Mutex) m.Lock(); time.Sleep(time.Second); m.Unlock()
+- [sync time] (m *sync.Mutex) m.Lock(); m.Unlock(); time.Sleep(time.Second)
+- [sync time] (m *sync.Mutex) m.Lock(); go func() { time.Sleep(time.Second) }(); m.Unlock()
+@unlock-without-lock
++ [sync] (m *sync.RWMutex) m.RLock(); m.Unlock()
++ [sync] (m *sync.Mutex) m.Lock(); m.Unlock(); m.Unlock()
+- [sync] (m *sync.Mutex) m.Unlock()
+- [sync] (m *sync.Mutex) m.Lock(); m.Unlock()
+@waitgroup-negative-counter
++ [sync] var w sync.WaitGroup; w.Add(1); w.Done(); w.Done()
+- [sync] var w sync.WaitGroup; w.Add(1); w.Done(); w.Wait()
+- [sync] var w sync.WaitGroup; g(&w); w.Done()
+@http-response-body-used-after-close
++ [io net/http] r, err := http.Get("x"); g(err); r.Body.Close(); g(io.ReadAll(r.Body))
+- [io net/http] r, err := http.Get("x"); g(err); g(io.ReadAll(r.Body)); r.Body.Close()
+@nilness
++ (p *int) if p == nil { g(*p) }
++ (f func()) if f != nil { g() } else { f() }
+- (p *int) if p == nil { p = new(int); g(*p) }
+- (p *int) if p != nil { g(*p) }
+@nil-error-wrap
++ [fmt] (err error) if err == nil { g(fmt.Errorf("x: %w", err)) }
+- [fmt] (err error) if err != nil { g(fmt.Errorf("x: %w", err)) }
+@failed-type-assertion-value
++ (x any) if x, ok := x.(int); !ok { g(x) }
+- (x any) if x, ok := x.(int); ok { g(x) }
+- (x any) if y, ok := x.(int); !ok { g(x, y) }
+@overlapping-encoder-slices
++ [encoding/hex] (b []byte) hex.Encode(b, b)
++ [encoding/base64] (b []byte) base64.StdEncoding.Encode(b[:8], b)
+- [encoding/hex] (a, b []byte) hex.Encode(a, b)
+@impossible-type-assertion
++3 top:type A interface { M() int }⏎type B interface { M() string }⏎func f(a A) { _ = a.(B) }
++4 top:type A interface { M() int }⏎type B interface { M() string }⏎func f(a A) { switch a.(type) {⏎case B: g() } }
+- top:type A interface { M() int }⏎type B interface { M() int; N() }⏎func f(a A) { _ = a.(B) }
+@shadowed-error
++ top:func f() (err error) { defer func() { err := h(); g() }(); return nil }
++3 [os] top:func f() error {⏎var err error⏎for range 3 { err := os.Remove("x"); if err != nil { break } }⏎return err⏎}
+- top:func f() (err error) { defer func() { err = h() }(); return nil }
+- [os] top:func f() error {⏎var err error⏎for range 3 { err = os.Remove("x"); if err != nil { break } }⏎return err⏎}
 """
+#: Options that rules without a finding of their own by default are run with.
+OPTIONS = {"must-use-result": {"functions": ("f", "strings.ToUpper")}, "standard-library-version": {"version": "go1.20"}}
 
 
 @dataclass(frozen=True)
@@ -458,6 +537,8 @@ def cases() -> dict[str, list[Case]]:
             own = out.setdefault(line[1:], [])
         else:
             own.append(file_of(line))
+    out["must-use-result"] = [file_of("+2,3 [strings] top:func f() int { return 1 }⏎func h() { f() }⏎func k() { strings.ToUpper(x) }"), file_of("- [strings] top:func f() int { return 1 }⏎var x = f()⏎func k() { strings.ToLower(x) }")]
+    out["standard-library-version"] = [file_of("+ [slices] g(slices.Contains(a, b))"), file_of("- [errors] g(errors.Join(a, b))")]
     body = "\n".join("\tg()" for _ in range(101))
     out["too-many-lines"] = [Case(f"package p\n\nfunc f() {{\n{body}\n}}\n", (3,)), Case(f"package p\n\nfunc f() {{\n{body[4:]}\n\n// one less\n}}\n", ())]
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.gorules import registry
-from tessera.plans.gocases import Case, cases
+from tessera.plans.gocases import OPTIONS, Case, cases
 from tessera.sources import gofiles, settings
 
 QUERIES: dict = {}
@@ -37,7 +37,7 @@ FROM {table} JOIN (VALUES {_values(found)}) e(c, line) ON {key} % {len(own)} = e
 
 def _rule(rule_id: str, own: list[Case]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return gofiles.findings(files(spark, sf_dir, own), [rule_id]).select("path", "rule_id", "line")
+        return gofiles.findings(files(spark, sf_dir, own), [rule_id], OPTIONS).select("path", "rule_id", "line")
 
     run.__name__ = "rule_" + rule_id.replace("-", "_")
     QUERIES[run.__name__] = run

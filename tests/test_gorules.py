@@ -4,7 +4,7 @@ import pytest
 
 from tessera.goparse.syntax import GoSyntaxError, parse, rows
 from tessera.gorules import registry
-from tessera.plans.gocases import cases
+from tessera.plans.gocases import OPTIONS, cases
 
 RULES = registry.loaded()
 CASES = [(rule, i, case) for rule, own in cases().items() for i, case in enumerate(own)]
@@ -12,7 +12,7 @@ CASES = [(rule, i, case) for rule, own in cases().items() for i, case in enumera
 
 @pytest.mark.parametrize("rule,i,case", CASES, ids=[f"{r}-{i}" for r, i, _ in CASES])
 def test_case(rule, i, case):
-    found, error = registry.check("p.go", case.source.encode(), [rule])
+    found, error = registry.check("p.go", case.source.encode(), [rule], OPTIONS)
     assert error is None, (error, case.source)
     lines = parse(case.source.encode())
     assert sorted(lines.line(f.start) for f in found) == sorted(case.lines), case.source
