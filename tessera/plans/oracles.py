@@ -37,7 +37,13 @@ _WITH = f"WITH {_DIAGNOSTICS}"
 _PLACE = 'doc_id, line, start, "end"'
 
 
+#: Texts with two spaces at the end of each line of every third document: the tables' own lines have none.
+_SPACED = _LINES.replace("string_split(text, chr(10))", "string_split(CASE WHEN doc_id % 3 = 0 THEN replace(text, chr(10), '  ' || chr(10)) ELSE text END, chr(10))")
+
+
 def finding(rule_id: str) -> str:
+    if rule_id == "trailing-space":
+        return f"WITH {_SPACED} {_RULES[rule_id]}"
     return f"WITH {_LINES} {_RULES[rule_id]}"
 
 
@@ -90,9 +96,15 @@ SELECT rules.rule_id, count(s) AS findings, count(s) FILTER (WHERE s = 'visible'
   count(s) FILTER (WHERE s = 'suppressed') AS suppressed, count(s) FILTER (WHERE s = 'baselined') AS baselined
 FROM rules LEFT JOIN states USING (rule_id) GROUP BY rules.rule_id
 """
-TIER_REASONS = "SELECT * FROM (VALUES ('lexical', 'long-line,trailing-space'), ('syntax', 'address-like,license-line,secret-like'), ('types', 'adjacent-equal,duplicate-line')) t(tier, rules)"
+# The registry's rows, and what the policy of the catalogue selects of them.
+_REGISTRY = """
+registry(rule_id, tier, depth, presets) AS (VALUES ('long-line', 'lexical', 0, ['style']), ('trailing-space', 'lexical', 0, ['style']), ('secret-like', 'syntax', 1, ['suspicious', 'correctness']),
+  ('address-like', 'syntax', 1, ['suspicious']), ('license-line', 'syntax', 1, ['restriction']), ('duplicate-line', 'types', 2, ['pedantic']), ('adjacent-equal', 'types', 2, ['correctness'])),
+chosen AS (SELECT * FROM registry WHERE list_has_any(presets, ['style', 'suspicious', 'correctness', 'pedantic', 'restriction']))
+"""
+TIER_REASONS = f"WITH {_REGISTRY} SELECT tier, string_agg(rule_id, ',' ORDER BY rule_id) AS rules FROM chosen GROUP BY tier"
 EXIT_CODE = f"{_WITH} SELECT CAST(CASE WHEN count(*) FILTER (WHERE severity = 'error') > 0 THEN 1 ELSE 0 END AS INTEGER) AS code FROM d"
-SELECTED_TIER = "SELECT 'types' AS tier"
+SELECTED_TIER = f"WITH {_REGISTRY} SELECT arg_max(tier, depth) AS tier FROM chosen"
 POLICY_RESOLVE = """
 WITH rules(rule_id, presets) AS (VALUES ('long-line', ['style']), ('trailing-space', ['style']), ('secret-like', ['suspicious', 'correctness']),
   ('address-like', ['suspicious']), ('license-line', ['restriction']), ('duplicate-line', ['pedantic']), ('adjacent-equal', ['correctness'])),
@@ -264,7 +276,7 @@ WITH RECURSIVE r AS (SELECT n_nationkey AS node, n_nationkey AS up, 0 AS level F
 SELECT node, CAST(max(level) AS INTEGER) AS level FROM r GROUP BY node
 """
 REVERSE = """
-WITH RECURSIVE r AS (SELECT n_nationkey AS node FROM nation WHERE n_nationkey IN (3, 7) UNION SELECT n_nationkey FROM nation JOIN r ON n_nationkey // 2 = r.node AND n_nationkey <> r.node)
+WITH RECURSIVE r AS (SELECT p_partkey AS node FROM part WHERE p_partkey IN (3, 7) UNION SELECT p_partkey FROM part JOIN r ON p_partkey // 2 = r.node AND p_partkey <> r.node)
 SELECT node FROM r
 """
 PRUNE = """
