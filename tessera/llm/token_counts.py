@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded_batches, stored
 
 #: Lengths in a range of the suffix sums.
-RANGE = 1024
+RANGE = 128
 
 
 def lengths(documents: DataFrame, tokenizer_path: str) -> DataFrame:
