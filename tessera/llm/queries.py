@@ -20,26 +20,32 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole text encoded and decoded again, summed up."""
     return sentencepieces.digests(table(spark, sf_dir, "documents"), vocabulary(PIECE_BPE))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 3-word shingles and components at distance 2."""
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 ids; a null text is empty."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), end_id=1)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read back from Simple-8b shards in ascending order of ids."""
     return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), end_id=2)
 
 
 def op5_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best others of every fiftieth vector."""
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by a field fitted on the rows that may be learnt from; a null id counts as one of them and is not held out."""
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(documents, labels, learn=id_remainder("doc_id", 4) != 2)
     scored = toxicity.scored(documents, model, threshold=0.3)
@@ -47,10 +53,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdicts by lines that stand in many documents of a host."""
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages by models fitted on the rows that may be learnt from."""
     documents = table(spark, sf_dir, "documents")
     models = language.train(documents, learn=id_remainder("doc_id", 3) != 1)
     found = language.identified(documents, models)
@@ -58,10 +66,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each text without repeated lines and passages, with the removed spans."""
     return passages.removals(table(spark, sf_dir, "documents"))
 
 
 def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of encoded lengths with its suffix sums."""
     return token_counts.histogram(token_counts.lengths(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE)))
 
 

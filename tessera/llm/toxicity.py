@@ -29,6 +29,8 @@ STEMS = (4, 5, 6, 7)
 #: without a toxic tag, how many the weights are fitted on at least (twice those with one, if that is more).
 TOXIC_ROWS, CLEAN_ROWS, LONGEST, CLEAN_PIECES = 1200, 2400, 20_000, 4000
 THRESHOLD = 0.3
+#: Marginals below this are no sign of anything: else the length of a clean text would add up to one.
+FLOOR = 0.02
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _WORDS = re.compile(r"\S+")
 
@@ -96,13 +98,13 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, model: Field) -> np.ndarr
 
 
 def features(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Of each row: log odds of any toxic token, capped, and log of the expected number of them."""
+    """Of each row: log odds of any toxic token, capped, and log of the expected number of them. Marginals below FLOOR don't count."""
     ends = np.cumsum(lengths)
     rest, sums = np.zeros(len(lengths)), np.zeros(len(lengths))
     some = lengths > 0
     if some.any():
         starts = (ends - lengths)[some]
-        rest[some] = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), starts)
+        rest[some] = np.add.reduceat(np.log1p(-np.minimum(np.where(p < FLOOR, 0, p), 1 - 1e-9)), starts)
         sums[some] = np.add.reduceat(np.where(p > 0.5, p, 0), starts)
     any_toxic = np.clip(np.log(-np.expm1(np.minimum(rest, -1e-12))) - rest, -8, 8)
     return np.column_stack([any_toxic, np.log1p(sums)])
