@@ -21,7 +21,7 @@ CASES = cases()
 def files(spark: SparkSession, sf_dir: str, own: list[Case], table: str = "supplier", key: str = "s_suppkey", lines: str = "s_nationkey") -> DataFrame:
     """path, bytes: a file for each row."""
     code = F.element_at(F.array(*(F.lit(c.source) for c in own)), (F.col(key) % len(own) + 1).cast("int"))
-    text = F.concat(F.repeat(F.lit("// a line\n"), F.col(lines).cast("int")), F.lit("\n"), code)
+    text = F.concat(F.repeat(F.lit("// a line\n"), F.expr(lines).cast("int")), F.lit("\n"), code)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.concat(F.lit("r"), F.col(key).cast("string"), F.lit(".go")).alias("path"), text.cast("binary").alias("bytes"))
 
 
@@ -131,6 +131,27 @@ def go_fixed(spark, sf_dir):
     return gofiles.fixed(own, ["redundant-bool-comparison", "redundant-nil-check", "redundant-type-declaration", "unnecessary-format"], ("safe", "suggestion")).select("path", "digest", "applied")
 
 
+@query("""SELECT 'p' || p_partkey || '.go' AS path, p_partkey % 3 <> 0 AS changed,
+  sha256('package p' || chr(10) || chr(10) || 'func F' || p_partkey || '(a, b int) {' || chr(10) || repeat(chr(9) || 'g(a + b, T{1, ' || p_size || '})' || chr(10), CAST(p_size AS INTEGER)) || '}' || chr(10)) AS digest FROM part""")
+def go_formatted(spark, sf_dir):
+    """Files made from parts, every third of them even already, laid out."""
+    even = F.col("p_partkey") % 3 == 0
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("int")
+    plain = F.concat(F.lit("package p\n\nfunc F"), k, F.lit("(a, b int) {\n"), F.repeat(F.concat(F.lit("\tg(a + b, T{1, "), n.cast("string"), F.lit("})\n")), n), F.lit("}\n"))
+    odd = F.concat(F.lit("package   p\n\n\n\nfunc F"), k, F.lit("( a,b int ){\n\n"), F.repeat(F.concat(F.lit("  g( a+b,T { 1,"), n.cast("string"), F.lit(" } );  \n")), n), F.lit("  }"))
+    own = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("p"), k, F.lit(".go")).alias("path"), F.when(even, plain).otherwise(odd).cast("binary").alias("bytes"))
+    return gofiles.formatted(own).select("path", "changed", "digest")
+
+
+@query("""SELECT 'r' || s_suppkey || '.go' AS path, kind, rule_id FROM supplier JOIN (VALUES (0, 'format', NULL), (1, 'finding', 'self-assignment'), (2, 'error', NULL), (3, 'format', NULL), (3, 'finding', 'self-assignment')) e(c, kind, rule_id) ON s_suppkey % 5 = c""")
+def go_check(spark, sf_dir):
+    """Layout and rules together."""
+    body = "package p\n\nfunc f(a int) { %s }\n"
+    own = [Case(body % "g( a )", ()), Case(body % "a = a", ()), Case(body % "}", ()), Case(body % "a=a", ()), Case(body % "g(a)", ())]
+    # Without comment lines the files begin with their package clauses, so only the case decides about the layout.
+    return gofiles.check(files(spark, sf_dir, own, lines="0").select("path", F.expr("substring(bytes, 2)").alias("bytes")), {"self-assignment": "warn"}).select("path", "kind", "rule_id")
+
+
 @query("SELECT 'r' || s_suppkey || '.go' AS path, callee, caller FROM supplier, (VALUES ('strings.ToUpper', 'f'), ('f', 'h'), ('(strings.Builder).String', 'h'), ('len', NULL)) e(callee, caller)")
 def go_calls(spark, sf_dir):
     """Calls and their callees: packages' functions, the file's own, methods, builtins."""

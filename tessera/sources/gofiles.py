@@ -20,6 +20,7 @@ NODES = "path string, node int, parent int, place int, kind string, start int, e
 FINDINGS = "path string, rule_id string, start int, end int, line int, column int, message_key string, severity string, fix_name string, fix_safety string, edits array<struct<start:int,end:int,new_text:string>>"
 FAILURES = "path string, error string"
 FIXED = "path string, bytes binary, digest string, applied int, refused array<struct<rule_id:string,name:string,reason:string>>"
+FORMATTED = "path string, bytes binary, digest string, changed boolean, error string, diff string"
 CALLS = "path string, start int, end int, line int, callee string, caller string"
 CONSTANTS = "path string, name string, line int, value string"
 FUNCTIONS = "path string, name string, start int, line int, parameters int, results int, nesting int, logical_lines int"
@@ -175,6 +176,32 @@ def fixed(files: DataFrame, names: list[str] | None = None, allowed: tuple[str,
     return _batched(files, FIXED, rows)
 
 
+def formatted(files: DataFrame, context: int = 3) -> DataFrame:
+    """Rows of FORMATTED: every file laid out, with the difference; a file whose layout would change more than white space stays and has an error."""
+
+    def rows(path: str, data: bytes) -> list[tuple]:
+        from hashlib import sha256
+
+        from tessera.functions.diff import unified
+        from tessera.layout.go import checked
+
+        own = checked(data)
+        text = unified(data.decode("utf-8", "replace"), own.source.decode("utf-8", "replace"), path, context) if own.changed else None
+        return [(own.source, sha256(own.source).hexdigest(), own.changed, own.error, text)]
+
+    return _batched(files, FORMATTED, rows)
+
+
+def check(files: DataFrame, severities: dict[str, str], options: dict[str, dict] | None = None) -> DataFrame:
+    """path, kind (format, finding or error), rule_id, line, message: what layout and rules have to say about every file."""
+    none = F.lit(None).cast("string")
+    laid = formatted(files)
+    layout = laid.filter("changed").select("path", F.lit("format").alias("kind"), none.alias("rule_id"), F.lit(None).cast("int").alias("line"), F.lit("the layout isn't even").alias("message"))
+    broken = laid.filter("error is not null").select("path", F.lit("error").alias("kind"), none.alias("rule_id"), F.lit(None).cast("int").alias("line"), F.col("error").alias("message"))
+    found = lint(files, severities, options).filter("disposition = 'visible'").select("path", F.lit("finding").alias("kind"), "rule_id", "line", F.col("message_key").alias("message"))
+    return layout.unionByName(broken).unionByName(found)
+
+
 def calls(files: DataFrame) -> DataFrame:
     """Rows of CALLS: every call whose callee the file tells, by symbol, and the function that it stands in (null outside of one)."""
     from tessera.goparse.facts import Facts
