@@ -131,6 +131,31 @@ def go_fixed(spark, sf_dir):
     return gofiles.fixed(own, ["redundant-bool-comparison", "redundant-nil-check", "redundant-type-declaration", "unnecessary-format"], ("safe", "suggestion")).select("path", "digest", "applied")
 
 
+@query("""WITH m AS (SELECT p_size AS pkg, 'd' || p_size || '/p' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || '.go' AS path, CASE p_partkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'a' ELSE '_' END AS name,
+  CAST(p_partkey % 3 = 0 AS VARCHAR) AS pointer FROM part),
+v AS (SELECT pkg, path, 'inconsistent-receiver-name' AS rule_id, name AS v FROM m WHERE name <> '_' UNION ALL SELECT pkg, path, 'mixed-receiver-type', pointer FROM m),
+c AS (SELECT pkg, rule_id, v, row_number() OVER (PARTITION BY pkg, rule_id ORDER BY count(*) DESC, min(path)) AS k FROM v GROUP BY pkg, rule_id, v)
+SELECT v.path, v.rule_id, 3 AS line FROM v JOIN c ON v.pkg = c.pkg AND v.rule_id = c.rule_id AND c.k = 1 AND v.v <> c.v""")
+def go_package_receivers(spark, sf_dir):
+    """Receivers of one type over the files of a package: parts of one size are a package."""
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    name = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("a"), F.lit("_")), (k % 4 + 1).cast("int"))
+    text = F.concat(F.lit("package p\n\nfunc ("), name, F.when(k % 3 == 0, " *t").otherwise(" t"), F.lit(") M"), k.cast("string"), F.lit("() {}\n"))
+    path = F.concat(F.lit("d"), n, F.lit("/p"), F.lpad(k.cast("string"), 9, "0"), F.lit(".go"))
+    own = spark.read.parquet(f"{sf_dir}/part.parquet").select(path.alias("path"), text.cast("binary").alias("bytes"))
+    return gofiles.receiver_findings(own).select("path", "rule_id", "line")
+
+
+@query("SELECT DISTINCT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation UNION SELECT 'n' || n_nationkey, 'n' || (n_nationkey // 2) FROM nation")
+def go_package_graph(spark, sf_dir):
+    """Packages that import others of their module; the library's don't count."""
+    k, r = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
+    half = F.floor(F.col("n_nationkey") / 2).cast("string")
+    text = F.concat(F.lit('package p\n\nimport (\n\t"os"\n\tx "example.com/m/r'), r, F.lit('"\n)\n\nimport _ "example.com/m/n'), half, F.lit('"\n'))
+    own = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("n"), k, F.lit("/a.go")).alias("path"), text.cast("binary").alias("bytes"))
+    return gofiles.package_graph(own, "example.com/m")
+
+
 @query("""SELECT 'p' || p_partkey || '.go' AS path, p_partkey % 3 <> 0 AS changed,
   sha256('package p' || chr(10) || chr(10) || 'func F' || p_partkey || '(a, b int) {' || chr(10) || repeat(chr(9) || 'g(a + b, T{1, ' || p_size || '})' || chr(10), CAST(p_size AS INTEGER)) || '}' || chr(10)) AS digest FROM part""")
 def go_formatted(spark, sf_dir):

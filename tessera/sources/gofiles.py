@@ -19,6 +19,8 @@ DIRECTIVES = "path string, ord int, kind string, start int, end int, raw string"
 NODES = "path string, node int, parent int, place int, kind string, start int, end int, line int, name string"
 FINDINGS = "path string, rule_id string, start int, end int, line int, column int, message_key string, severity string, fix_name string, fix_safety string, edits array<struct<start:int,end:int,new_text:string>>"
 FAILURES = "path string, error string"
+RECEIVERS = "path string, package string, type string, method string, name string, pointer boolean, start int, end int, line int"
+IMPORTS = "path string, ord int, name string, import_path string, line int"
 FIXED = "path string, bytes binary, digest string, applied int, refused array<struct<rule_id:string,name:string,reason:string>>"
 FORMATTED = "path string, bytes binary, digest string, changed boolean, error string, diff string"
 CALLS = "path string, start int, end int, line int, callee string, caller string"
@@ -176,6 +178,72 @@ def fixed(files: DataFrame, names: list[str] | None = None, allowed: tuple[str,
     return _batched(files, FIXED, rows)
 
 
+def receivers(files: DataFrame) -> DataFrame:
+    """Rows of RECEIVERS: every method's receiver; a package is a folder and the name in its files' package clauses."""
+    from tessera.goparse.facts import Facts
+    from tessera.goparse.syntax import GoSyntaxError, parse
+
+    def rows(path: str, data: bytes) -> list[tuple]:
+        try:
+            tree = parse(data)
+        except GoSyntaxError:
+            return []
+        facts, out = Facts(tree), []
+        package = f"{path.rpartition('/')[0]}:{tree.root.name.name}"
+        for d in tree.root.decls:
+            if d.kind == "FuncDecl" and d.receiver:
+                r = d.receiver[0]
+                base, name = facts.base_name(r.type), r.names[0] if r.names else None
+                if base:
+                    at = name or r
+                    out.append((package, base, d.name.name, name.name if name else None, r.type.kind == "Star", at.start, at.end, tree.line(at.start)))
+        return out
+
+    return _batched(files, RECEIVERS, rows)
+
+
+def receiver_findings(files: DataFrame) -> DataFrame:
+    """path, rule_id, start, line of receivers that differ from those of most methods of their type, over all files of a package.
+
+    The most frequent name counts, of equally frequent ones the first in order of path and place; blank and absent names don't. Pointers
+    against values likewise, where ties go to the first method. One type's methods are met by partial counts, so a large package is no task's own.
+    """
+    from pyspark.sql import Window
+
+    own = receivers(files)
+    place = F.struct("path", "start")
+    out = []
+    for rule, value, some in (("inconsistent-receiver-name", F.col("name"), F.col("name").isNotNull() & (F.col("name") != "_")), ("mixed-receiver-type", F.col("pointer").cast("string"), F.lit(True))):
+        named = own.filter(some).withColumn("value", value)
+        counts = named.groupBy("package", "type", "value").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+        rank = F.row_number().over(Window.partitionBy("package", "type").orderBy(F.col("n").desc(), "first"))
+        usual = counts.withColumn("rank", rank).filter("rank = 1").select("package", "type", F.col("value").alias("usual"))
+        met = named.join(usual, ["package", "type"]).filter("value <> usual")
+        out.append(met.select("path", F.lit(rule).alias("rule_id"), "start", "line"))
+    return out[0].unionByName(out[1])
+
+
+def imports(files: DataFrame) -> DataFrame:
+    """Rows of IMPORTS: the imports of every file that parses, in the source's order: edges from files to packages."""
+    from tessera.goparse.syntax import GoSyntaxError, parse
+
+    def rows(path: str, data: bytes) -> list[tuple]:
+        try:
+            tree = parse(data)
+        except GoSyntaxError:
+            return []
+        specs = [s for d in tree.root.decls if d.kind == "GenDecl" and d.word == "import" for s in d.specs]
+        return [(i, s.name, s.path, tree.line(s.start)) for i, s in enumerate(specs)]
+
+    return _batched(files, IMPORTS, rows)
+
+
+def package_graph(files: DataFrame, module: str) -> DataFrame:
+    """(src, dst) folders of one module, of which the first's files import the second: the graph for closures and orders."""
+    own = imports(files).select(F.regexp_replace("path", "/?[^/]*$", "").alias("src"), "import_path")
+    return own.filter(F.col("import_path").startswith(module + "/")).select("src", F.substring("import_path", len(module) + 2, 1 << 20).alias("dst")).distinct()
+
+
 def formatted(files: DataFrame, context: int = 3) -> DataFrame:
     """Rows of FORMATTED: every file laid out, with the difference; a file whose layout would change more than white space stays and has an error."""
 

@@ -16,7 +16,7 @@ from tessera.sources import gofiles  # noqa: E402
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
-    for t in ("supplier", "part"):
+    for t in ("supplier", "part", "nation"):
         connection.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return connection
 
