@@ -121,6 +121,9 @@ def ordered_sample(df: DataFrame, key: str, rows: int, *group: str) -> DataFrame
     return ranked.filter(F.col(rank) <= rows).drop(rank, mix)
 
 
+#: Characters of the longest word that a worker remembers; longer ones are worked out each time, so what is remembered is bounded in bytes too.
+LONGEST_KEPT = 64
+
 _STATE: dict = {}
 
 

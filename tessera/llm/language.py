@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, fresh, ordered_sample, worker_state
+from tessera.llm.common import LONGEST_KEPT, bounded_batches, fresh, ordered_sample, worker_state
 
 ORDER = 4
 #: Documents of each language that the fit reads at most, and the longest text among them, in characters.
@@ -236,13 +236,16 @@ class Scorer:
     def __init__(self, models: Models, remembered: int = 200_000):
         self.models, self.limit = models, remembered
         self.known: dict[str, int] = {}
+        self.used = 0  # rows of the table
         self.table = np.zeros((1024, len(models.languages) + 1), np.float32)
 
     def _learn(self, tokens: set[str]) -> None:
-        if len(self.known) > self.limit:
+        if self.used > self.limit:
             self.known.clear()
+            self.used = 0
         new = [t for t in tokens if t not in self.known]
-        at = len(self.known)
+        at = self.used
+        self.used += len(new)
         if at + len(new) > len(self.table):
             grown = np.zeros((max(at + len(new), 2 * len(self.table)), self.table.shape[1]), np.float32)
             grown[:at] = self.table[:at]
@@ -268,8 +271,12 @@ class Scorer:
             try:
                 at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
             except KeyError:
-                self._learn(set(tokens))
+                own = set(tokens)
+                self._learn(own)
                 at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+                for t in own:
+                    if len(t) > LONGEST_KEPT:
+                        self.known.pop(t, None)
             rows = self.table[at].sum(axis=0, dtype=np.float64)
             out[i], chars[i] = rows[:-1], rows[-1]
         return out, chars

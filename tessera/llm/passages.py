@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, drop_stored, fresh, stored, worker_state
+from tessera.llm.common import LONGEST_KEPT, bounded_batches, drop_stored, fresh, stored, worker_state
 
 #: Repeated stretches of fewer words stay.
 LEAST_WORDS = 20
@@ -50,10 +50,16 @@ def _hashed(words: list[str], known: dict | None) -> np.ndarray:
     known = {} if known is None else known
     if len(known) > REMEMBERED:
         known.clear()
+    long = []
     for w in set(words):
         if w not in known:
             known[w] = xxh64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            if len(w) > LONGEST_KEPT:
+                long.append(w)
+    out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    for w in long:
+        del known[w]
+    return out
 
 
 def word_hashes(text: str, known: dict | None = None) -> np.ndarray:

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, worker_state
+from tessera.llm.common import LONGEST_KEPT, bounded_batches, worker_state
 
 MARK = "▁"
 UNIGRAM, MERGES = 1, 2
@@ -342,6 +342,9 @@ class Codec:
             new.update(zip(batch, self.pieces.encode_words(batch), strict=True))
         find = new.__getitem__
         out = [b"".join(map(find, words)) for words in parts]
+        for w in absent:
+            if len(w) > LONGEST_KEPT:
+                del new[w]
         if len(new) > self.limit:
             self.new, self.old = {}, new
         return out

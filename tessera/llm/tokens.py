@@ -15,10 +15,10 @@ import sys
 from array import array
 from itertools import islice
 
-from tessera.llm.common import worker_state
+from tessera.llm.common import LONGEST_KEPT, worker_state
 
 #: Chunks that a worker remembers, in two generations of half as many each.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 _BREAKS = re.compile(r"\n+")
 #: The letters of the byte-level alphabet: a printable byte stands for itself, the others for code points from 256 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -90,7 +90,9 @@ class TextEncoder:
             if body.isalpha():
                 ids = new.get(body) or old.get(body)
                 if ids is None:
-                    new[body] = ids = self._word(" " + body)
+                    ids = self._word(" " + body)
+                    if len(body) <= LONGEST_KEPT:
+                        new[body] = ids
             elif body[:1] == "\n" and body[1:].isalpha():
                 ids = self._newline + self._word(body[1:])
             else:
@@ -117,7 +119,8 @@ class TextEncoder:
         new, every = self._new, set()
         for chunks in parts:
             every.update(chunks)
-        self._learn(every.difference(new))
+        unknown = every.difference(new)
+        self._learn(unknown)
         find = new.__getitem__
         out = []
         for text, chunks in zip(texts, parts, strict=True):
@@ -125,6 +128,9 @@ class TextEncoder:
                 out.append(b"".join(map(find, chunks)) if chunks else self.whole(text))
             except TypeError:
                 out.append(self.whole(text))
+        for key in unknown:
+            if len(key) > LONGEST_KEPT:
+                del new[key]
         if len(new) > self._limit:
             self._new, self._old = {}, new
         return out
@@ -135,7 +141,7 @@ def encoder(path: str) -> TextEncoder:
     return worker_state(("tokens", path), lambda: TextEncoder(path))
 
 
-def in_groups(texts: list[str | None], most_chars: int = 1_000_000):
+def in_groups(texts: list[str | None], most_chars: int = 2_000_000):
     """(first index, texts) of consecutive groups that hold about most_chars characters; null is the empty text."""
     at, size, group = 0, 0, []
     for i, text in enumerate(texts):

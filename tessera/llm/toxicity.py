@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, ordered_sample, worker_state
+from tessera.llm.common import LONGEST_KEPT, bounded_batches, ordered_sample, worker_state
 
 BUCKETS = 1 << 18
 #: Letters of a word's beginnings that are traits.
@@ -245,10 +245,16 @@ class Scorer:
             pass
         if len(known) > self.limit:
             known.clear()
+        long = []
         for t in set(tokens):
             if t not in known:
                 known[t] = float(self.model.weights[buckets(normal(t))].sum())
-        return np.fromiter(map(known.__getitem__, tokens), np.float64, len(tokens))
+                if len(t) > LONGEST_KEPT:
+                    long.append(t)
+        out = np.fromiter(map(known.__getitem__, tokens), np.float64, len(tokens))
+        for t in long:
+            del known[t]
+        return out
 
     def scores(self, texts) -> np.ndarray:
         rows = [(t or "").split() for t in texts]
