@@ -146,6 +146,44 @@ def go_package_receivers(spark, sf_dir):
     return gofiles.receiver_findings(own).select("path", "rule_id", "line")
 
 
+@query("""WITH RECURSIVE r AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 10 = 3 UNION SELECT p_partkey FROM part JOIN r ON p_partkey // 2 = r.k AND p_partkey % 10 NOT IN (3, 4))
+SELECT 'f' || k AS name FROM r""")
+def go_no_return(spark, sf_dir):
+    """Functions made from parts, each ending with a call of the one of half its key, some with an exit, some with a return before it."""
+    k = F.col("p_partkey")
+    last = F.when(k % 10 == 3, "os.Exit(1)").otherwise(F.concat(F.lit("f"), F.floor(k / 2).cast("string"), F.lit("()")))
+    text = F.concat(F.lit("package p\n\nimport \"os\"\n\nfunc f"), k.cast("string"), F.lit("() {\n"), F.when(k % 10 == 4, "\tif x { return }\n").otherwise("\tx()\n"), F.lit("\t"), last, F.lit("\n}\n"))
+    own = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("d/p"), k.cast("string"), F.lit(".go")).alias("path"), text.cast("binary").alias("bytes"))
+    return gofiles.no_return(own).select("name")
+
+
+@query("""SELECT 'src/n' || n_nationkey || '.go' AS path, a AS first, a + n - 1 AS last FROM (SELECT n_nationkey, unnest([CAST(n_regionkey + 1 AS INTEGER), CAST(40 + n_nationkey AS INTEGER)]) AS a,
+  unnest([CAST(n_nationkey % 4 AS INTEGER), 1]) AS n FROM nation WHERE n_nationkey % 5 <> 4) WHERE n > 0""")
+def changed_hunks(spark, sf_dir):
+    """Ranges of lines from diffs made of nations: hunks without new lines, with one, files that have gone."""
+    from tessera.sources import changes
+
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    new = F.when(k % 5 == 4, "/dev/null").otherwise(F.concat(F.lit("b/src/n"), k.cast("string"), F.lit(".go")))
+    section = F.concat(
+        F.lit("diff --git a/x b/x\nindex 1..2 100644\n--- a/src/old.go\n+++ "), new, F.lit("\n@@ -1,3 +"), (r + 1).cast("string"), F.lit(","), (k % 4).cast("string"), F.lit(" @@ func f() {\n-x\n+@@ -1 +9 @@\n@@ -30,0 +"), (k + 40).cast("string"), F.lit(" @@\n+y\n"),
+    )
+    return changes.hunks(spark.read.parquet(f"{sf_dir}/nation.parquet").select(section.alias("diff")))
+
+
+@query("""SELECT 'm' || n_regionkey || '/d' || n_nationkey || '/a.go' AS path, CASE WHEN n_nationkey % 2 = 0 THEN '1.' || (20 + n_nationkey) WHEN n_regionkey <> 2 THEN '1.' || n_regionkey || '.1' END AS value FROM nation""")
+def go_mod_versions(spark, sf_dir):
+    """The version of every file's nearest module: every other nation's own, else the region's, one of which names none."""
+    from tessera.sources import changes
+
+    own = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    k, r = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
+    near = own.filter("n_nationkey % 2 = 0").select(F.concat(F.lit("m"), r, F.lit("/d"), k, F.lit("/go.mod")).alias("path"), F.concat(F.lit("module x\n\ngo 1."), (F.col("n_nationkey") + 20).cast("string"), F.lit(" // of it\n")).alias("text"))
+    far = own.select(F.concat(F.lit("m"), r, F.lit("/go.mod")).alias("path"), F.when(F.col("n_regionkey") == 2, "module y\n").otherwise(F.concat(F.lit("module y\ngo 1."), r, F.lit(".1\n\nrequire z v1.2.3\n"))).alias("text")).distinct()
+    files_ = own.select(F.concat(F.lit("m"), r, F.lit("/d"), k, F.lit("/a.go")).alias("path"))
+    return changes.go_versions(files_, near.unionByName(far)).select("path", "value")
+
+
 @query("SELECT DISTINCT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation UNION SELECT 'n' || n_nationkey, 'n' || (n_nationkey // 2) FROM nation")
 def go_package_graph(spark, sf_dir):
     """Packages that import others of their module; the library's don't count."""

@@ -44,6 +44,17 @@ def discover(spark: SparkSession, root: str, fixtures: bool = False) -> DataFram
     return kept.select("path", F.when(~large, F.col("content")).alias("bytes"), F.col("length").alias("size"), F.when(~large, F.sha2("content", 256)).alias("digest"), F.when(large, "over 64 MiB").alias("error"))
 
 
+def named(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """As ``discover``, for files given by name: fixtures are read too, but nothing in folders of other people's code."""
+    inside = [p for p in dict.fromkeys(paths) if p.endswith(".go") and not set(p.split("/")[:-1]) & set(EXCLUDED)]
+    refused = sorted(set(paths) - set(inside))
+    if refused:
+        raise ValueError(f"not to be read: {', '.join(refused)}")
+    found = spark.read.format("binaryFile").load(inside)
+    large = F.col("length") > LARGEST
+    return found.select("path", F.when(~large, F.col("content")).alias("bytes"), F.col("length").alias("size"), F.when(~large, F.sha2("content", 256)).alias("digest"), F.when(large, "over 64 MiB").alias("error"))
+
+
 def _mapped(files: DataFrame, schema: str, rows) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -244,6 +255,43 @@ def package_graph(files: DataFrame, module: str) -> DataFrame:
     return own.filter(F.col("import_path").startswith(module + "/")).select("src", F.substring("import_path", len(module) + 2, 1 << 20).alias("dst")).distinct()
 
 
+def last_calls(files: DataFrame) -> DataFrame:
+    """path, package, name, callee: declared functions whose bodies end with a call, and what they call."""
+    from tessera.goparse.facts import Facts
+    from tessera.goparse.syntax import GoSyntaxError, parse
+
+    def rows(path: str, data: bytes) -> list[tuple]:
+        try:
+            tree = parse(data)
+        except GoSyntaxError:
+            return []
+        facts, out = Facts(tree), []
+        for d in tree.root.decls:
+            if d.kind == "FuncDecl" and not d.receiver and d.body is not None and d.body.body:
+                s = d.body.body[-1]
+                returns = any(x.kind == "Return" for x in d.body.walk(stop=("FuncLit",)))
+                if s.kind == "ExprStmt" and s.x.kind == "Call" and not returns:
+                    callee = facts.callee(s.x) or (s.x.fun.name if s.x.fun.kind == "Ident" else None)
+                    if callee:
+                        out.append((f"{path.rpartition('/')[0]}:{tree.root.name.name}", d.name.name, callee))
+        return out
+
+    return _batched(files, "path string, package string, name string, callee string", rows)
+
+
+def no_return(files: DataFrame) -> DataFrame:
+    """package, name: functions that never return, as they end with a call of what never returns: the library's ends, or others of the package, to a fixpoint."""
+    from tessera.gorules.bodies import NO_RETURN
+    from tessera.operators.graph import closure
+
+    own = last_calls(files).select("package", "name", "callee").distinct()
+    key = lambda c: F.concat_ws("\n", "package", c)
+    seeds = own.filter(F.col("callee").isin(*sorted(NO_RETURN))).select(key("name").alias("node")).distinct()
+    edges = own.select(key("callee").alias("src"), key("name").alias("dst"))
+    found = closure(seeds.select(F.lit(0).alias("origin"), "node"), edges)
+    return found.select(F.split("node", "\n")[0].alias("package"), F.split("node", "\n")[1].alias("name")).distinct()
+
+
 def formatted(files: DataFrame, context: int = 3) -> DataFrame:
     """Rows of FORMATTED: every file laid out, with the difference; a file whose layout would change more than white space stays and has an error."""
 

@@ -62,3 +62,14 @@ def test_published_positions():
     first, second = message["params"]["diagnostics"]
     assert first["range"] == {"start": {"line": 0, "character": 3}, "end": {"line": 0, "character": 4}} and first["severity"] == 2
     assert second["range"]["start"] == {"line": 1, "character": 0} and second["range"]["end"] == {"line": 1, "character": 1}
+
+
+def test_files_by_name(spark, tmp_path):
+    for p in ("testdata/a.go", "vendor/b.go", "c.txt"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("package p\n")
+    assert [r.size for r in gofiles.named(spark, [f"{tmp_path}/testdata/a.go"] * 2).collect()] == [10]
+    assert gofiles.discover(spark, str(tmp_path)).count() == 0
+    for p in ("vendor/b.go", "c.txt"):
+        with pytest.raises(ValueError):
+            gofiles.named(spark, [f"{tmp_path}/{p}"])
