@@ -184,6 +184,31 @@ def go_mod_versions(spark, sf_dir):
     return changes.go_versions(files_, near.unionByName(far)).select("path", "value")
 
 
+@query("""SELECT 's' || p_size AS session, 'file:///p' || p_partkey || '.go' AS uri, CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 4 THEN 3 ELSE 1 END AS version,
+  CAST(CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 4 THEN 2 ELSE 1 END AS INTEGER) AS n FROM part WHERE p_partkey % 6 <> 3""")
+def editor_session(spark, sf_dir):
+    """Sessions of an editor made from parts: opened, changed, changed out of order, closed, and opened again."""
+    from tessera.streaming import session
+
+    k = F.col("p_partkey")
+    uri = F.concat(F.lit("file:///p"), k.cast("string"), F.lit(".go"))
+
+    def sent(ord_, when, method, version, code):
+        doc = F.struct(uri.alias("uri"), F.lit(version).cast("long").alias("version"), (F.lit(None).cast("string") if method != session.OPEN else F.lit(code)).alias("text"))
+        changes = F.when(F.lit(method == session.CHANGE), F.array(F.struct(F.lit("package").alias("text")), F.struct(F.lit(code).alias("text"))))
+        body = F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.lit(method).alias("method"), F.struct(doc.alias("textDocument"), changes.alias("contentChanges")).alias("params")))
+        return F.when(when, F.struct(F.lit(ord_).alias("ord"), body.alias("body")))
+
+    bad, good, worse = ("package p\n\nfunc f(a, b int) { %s }\n" % x for x in ("a = a", "a = b", "a = a; b = b"))
+    steps = F.array(
+        sent(0, F.lit(True), session.OPEN, 1, bad), sent(1, k % 6 > 0, session.CHANGE, 2, good), sent(2, k % 6 == 2, session.CHANGE, 1, worse), sent(3, k % 6 == 4, session.CHANGE, 3, worse),
+        sent(4, k % 6 == 3, session.CLOSE, None, None), sent(5, k % 6 == 5, session.CLOSE, None, None), sent(6, k % 6 == 5, session.OPEN, 1, bad), sent(7, F.lit(True), "$/other", 9, bad),
+    )
+    own = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("session"), F.explode(F.filter(steps, lambda x: x.isNotNull())).alias("m"))
+    documents = session.open_documents(session.updates(own.select("session", "m.ord", "m.body")))
+    return session.diagnostics(documents, {"self-assignment": "warn"}).select("session", "uri", F.col("version").cast("int").alias("version"), "n")
+
+
 @query("SELECT DISTINCT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation UNION SELECT 'n' || n_nationkey, 'n' || (n_nationkey // 2) FROM nation")
 def go_package_graph(spark, sf_dir):
     """Packages that import others of their module; the library's don't count."""
