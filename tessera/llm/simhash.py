@@ -186,7 +186,7 @@ def summary(fps: DataFrame, groups: list[list[int]]) -> list[list[np.ndarray]]:
 @lru_cache(maxsize=64)
 def _masks(width: int, radius: int) -> np.ndarray:
     """All masks of at most ``radius`` of ``width`` bits."""
-    return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)], np.int64)
+    return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)], np.uint64).view(np.int64)
 
 
 def _near_share(counts: np.ndarray, width: int, radius: int, n: int) -> list[np.ndarray]:

@@ -66,7 +66,7 @@ def clouds(seed, n, spread):
 
 
 @pytest.mark.parametrize("dense", [1, 8, 10**6])
-@pytest.mark.parametrize("partitions", [3, 4])
+@pytest.mark.parametrize("partitions", [1, 2, 3, 4])
 def test_links_lose_nothing(spark, dense, partitions):
     if partitions != 3 and dense != 8:
         pytest.skip("one density is enough for other partitions")
@@ -163,3 +163,13 @@ def test_one_row_stays_of_rows_without_ids(spark):
     rows = [(None, "one two three four"), (None, "one two three four"), (None, "other words stand here now"), (5, "same"), (5, "same"), (6, "same")]
     got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.text, r.doc_id) for r in got) == [("one two three four", None), ("other words stand here now", None), ("same", 5)]
+
+
+def test_partitions_follow_the_number_of_fingerprints():
+    sizes = [10, 10**6, 10**8, 10**10, 10**13, 10**20]
+    own = [simhash.partitions_for(n, 2) for n in sizes]
+    assert own[0] == 3 and own[-1] == 1 and own == sorted(own, reverse=True) and set(own) == {1, 2, 3}
+    for n in sizes:
+        # No other number costs less: probes of one fingerprint, and what they meet where bits are even.
+        cost = {1: 2081 * (1 + n / 2**64), 2: 33 * (1 + n / 2**32) + 1 + n / 2**32, 3: 3 * (1 + n / 2**21)}
+        assert simhash.partitions_for(n, 2) == min(cost, key=cost.get)
