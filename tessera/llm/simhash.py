@@ -52,6 +52,11 @@ def fingerprint(text: str | None) -> int:
         h = np.array([xxh64_intdigest(" ".join(words), 42)], "<u8")
     else:
         h = np.fromiter((xxh64_intdigest(f"{a} {b} {c}", 42) for a, b, c in zip(words, words[1:], words[2:], strict=False)), "<u8", len(words) - 2)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of 64-bit hashes, as an unsigned integer; zero for none."""
     set_bits = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 1 << 16):
         set_bits += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -244,9 +249,12 @@ def allocated(estimate: np.ndarray, widths: list[int], distance: int, probe_cost
 # -- links
 
 
-def links(fps: DataFrame, distance: int = 2, partitions: int | None = None, dense: int = DENSE) -> DataFrame:
+def links(fps: DataFrame, distance: int = 2, partitions: int | None = None, dense: int = DENSE, crowds: bool = True) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp): every pair within ``distance`` is linked, directly
-    or, where both are dense, through a chain of such pairs. ``fps`` is read several times and should be stored."""
+    or, where both are dense, through a chain of such pairs. ``fps`` is read several times and should be stored.
+
+    Without ``crowds`` pairs of two dense ones are left to the caller, and any distance can be asked for.
+    """
     n, together = co_occurrence(fps)
     partitions = partitions or partitions_for(n, distance)
     groups = grouped_bits(n, together, partitions)
@@ -292,6 +300,9 @@ def links(fps: DataFrame, distance: int = 2, partitions: int | None = None, dens
     thin = index.join(sizes.filter(F.col("n") > dense).select("part", "value"), ["part", "value"], "left_anti")
     pairs = sparse.join(thin, ["part", "value"]).filter((F.col("q") != F.col("fp")) & (F.bit_count(F.col("q").bitwiseXOR(F.col("fp"))) <= distance))
     pairs = pairs.select(F.col("q").alias("a"), F.col("fp").alias("b"))
+    pairs._tessera_parts = (asked, sizes, crowded)  # for drop_stored, once the pairs have been read
+    if not crowds:
+        return pairs
 
     half = (distance + 1) // 2
     marks = _masks(BITS - 1, half) if half else np.zeros(1, np.int64)
