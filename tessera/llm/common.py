@@ -67,11 +67,16 @@ def drop_stored(*tables: DataFrame) -> None:
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bounds the batches that Python workers get, in rows and in bytes, so that long texts don't swell them. Values that a session has set itself stay."""
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, most_bytes: int = BATCH_BYTES, read_rows: int | None = None) -> None:
+    """Bounds the batches that Python workers get, in rows and in bytes, so that long texts don't swell them, and the rows of a batch that Spark's Parquet reader
+    decodes, if that is named. Values of the application, and smaller ones that a session has set, stay."""
     own = spark.sparkContext.getConf()
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        if not own.contains(key):
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": most_bytes, "spark.sql.parquet.columnarReaderBatchSize": read_rows}
+    for key, value in wanted.items():
+        if value is None or own.contains(key):
+            continue
+        now = spark.conf.get(key).rstrip("bB")
+        if not (now.isdigit() and 0 < int(now) <= value):
             spark.conf.set(key, str(value))
 
 
@@ -141,7 +146,10 @@ def _released() -> None:
     import ctypes
     import gc
 
+    import pyarrow as pa
+
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches
+from tessera.llm.tokens import MOST_CHARS, REMEMBERED
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 WINDOW = 2048
@@ -120,8 +121,9 @@ def _power(n: int) -> int:
     return 1 << n.bit_length() - 1 if n else 0
 
 
-def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WINDOW, most_open: int = MOST_OPEN) -> DataFrame:
-    """Rows of SCHEMA, one for each piece; sequence_tokens is the sequence's length before padding."""
+def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WINDOW, most_open: int = MOST_OPEN, remembered: int = REMEMBERED, most_chars: int = MOST_CHARS) -> DataFrame:
+    """Rows of SCHEMA, one for each piece; sequence_tokens is the sequence's length before padding. A worker remembers ``remembered`` chunks and encodes
+    about ``most_chars`` characters at a time: fewer take less memory and more time, and give the same rows."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -138,8 +140,8 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 1, window: int
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for at, texts in in_groups(batch.column(1).to_pylist()):
-                for doc_id, encoded in zip(ids[at : at + len(texts)], encoder(tokenizer_path).encode(texts), strict=True):
+            for at, texts in in_groups(batch.column(1).to_pylist(), most_chars):
+                for doc_id, encoded in zip(ids[at : at + len(texts)], encoder(tokenizer_path, remembered).encode(texts), strict=True):
                     packer.add(doc_id, encoded + end)
                 if rows := packer.taken():
                     yield out(rows)

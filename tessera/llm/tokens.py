@@ -19,6 +19,8 @@ from tessera.llm.common import LONGEST_KEPT, worker_state
 
 #: Chunks that a worker remembers, in two generations of half as many each.
 REMEMBERED = 800_000
+#: Characters that are encoded together.
+MOST_CHARS = 2_000_000
 _BREAKS = re.compile(r"\n+")
 #: The letters of the byte-level alphabet: a printable byte stands for itself, the others for code points from 256 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -136,12 +138,12 @@ class TextEncoder:
         return out
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> TextEncoder:
     """One encoder for each worker process; a reused worker keeps what it has learnt."""
-    return worker_state(("tokens", path), lambda: TextEncoder(path))
+    return worker_state(("tokens", path, remembered), lambda: TextEncoder(path, remembered))
 
 
-def in_groups(texts: list[str | None], most_chars: int = 2_000_000):
+def in_groups(texts: list[str | None], most_chars: int = MOST_CHARS):
     """(first index, texts) of consecutive groups that hold about most_chars characters; null is the empty text."""
     at, size, group = 0, 0, []
     for i, text in enumerate(texts):
