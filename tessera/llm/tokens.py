@@ -25,6 +25,7 @@ _BREAKS = re.compile(r"\n+")
 #: The letters of the byte-level alphabet: a printable byte stands for itself, the others for code points from 256 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+_SPACE = chr(_BYTE_LETTERS[32])
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -77,22 +78,29 @@ class TextEncoder:
         return key if key[0] == "\n" else " " + key
 
     def _word(self, text: str) -> bytes:
-        """The ids of a text that is one pre-token."""
-        return _bytes([t.id for t in self._model.tokenize(text.encode().decode("latin-1").translate(_BYTE_LETTERS))])
+        """The ids of a text that is one pre-token: letters, with a space before them or none. Those of ASCII stand for themselves."""
+        spelt = text.replace(" ", _SPACE) if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return _bytes([t.id for t in self._model.tokenize(spelt)])
 
     def _learn(self, unknown: set[str]) -> None:
         """Adds the ids of chunks. A word goes to the model at once; marks at its end are a token of their own, so it serves with any marks."""
         new, old, marks_of = self._new, self._old, self._marks
         rest = []
+        # Nothing is remembered of a key or word but its ids, or None where it hangs on its neighbours; 0 stands for nothing known.
+        known, word, tokenize, little = old.get, self._word, self._model.tokenize, sys.byteorder == "little"
         for key in unknown:
-            if key in old:
-                new[key] = old[key]
+            if (ids := known(key, 0)) != 0:
+                new[key] = ids
+                continue
+            if key.isalpha():
+                if key not in new:
+                    new[key] = array("I", [t.id for t in tokenize(_SPACE + key)]).tobytes() if little and key.isascii() else word(" " + key)
                 continue
             body = key.rstrip(",.;:!?")
             if body.isalpha():
-                ids = new.get(body) or old.get(body)
+                ids = new.get(body) or known(body)
                 if ids is None:
-                    ids = self._word(" " + body)
+                    ids = word(" " + body)
                     if len(body) <= LONGEST_KEPT:
                         new[body] = ids
             elif body[:1] == "\n" and body[1:].isalpha():
