@@ -3,17 +3,18 @@
 The byte-level pre-tokenizer never lets a token span a single space between two
 characters that aren't white space, nor a run of newlines after such a character.
 So a text is cut there, and each chunk (with the space or newlines before it) has the
-same ids alone as in its place. Texts in which white space meets a space in
+same ids alone as in its place. Chunks are cut and told apart as Arrow columns, so only distinct ones become Python strings. Texts in which white space meets a space in
 other ways, and texts that hold one of the tokenizer's added tokens (which the library reads as that token), are encoded whole. tests/llm hold all of them against the library.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import sys
 from array import array
-from itertools import islice
+from itertools import islice, repeat
+
+import numpy as np
 
 from tessera.llm.common import LONGEST_KEPT, worker_state
 
@@ -21,11 +22,11 @@ from tessera.llm.common import LONGEST_KEPT, worker_state
 REMEMBERED = 800_000
 #: Characters that are encoded together.
 MOST_CHARS = 2_000_000
-_BREAKS = re.compile(r"\n+")
 #: The letters of the byte-level alphabet: a printable byte stands for itself, the others for code points from 256 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 _SPACE = chr(_BYTE_LETTERS[32])
+_UNKNOWN = object()
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -56,55 +57,40 @@ class TextEncoder:
         return _bytes(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
     @staticmethod
-    def _chunks(text: str) -> list[str]:
-        """Keys: "\\n..." stands for newlines and what follows; any other for a space and what follows; the first, which has none before it, is marked by a space that no split chunk holds."""
-        if "\n" in text:
-            text = _BREAKS.sub(r" \g<0>", text) if "\n\n" in text else text.replace("\n", " \n")
-        chunks = text.split(" ")
-        chunks[0] = " " + chunks[0]
-        return chunks
-
-    @staticmethod
-    def _alone(key: str) -> str | None:
-        """The text to encode for a key; None where the chunk's ids may hang on what stands before or behind it."""
-        if key[:1] == " ":
-            body = key[1:]
-            return body if not body or not body[0].isspace() else None
-        if not key or key.isspace():
-            return None
-        body = key.lstrip("\n")
-        if body[0].isspace():
-            return None
-        return key if key[0] == "\n" else " " + key
+    def _alone(chunk: str) -> bool:
+        """Whether a chunk's ids are its own: those of one may hang on what stands before or behind it, where white space follows the space or the newlines."""
+        body = chunk[1:] if chunk[0] == " " else chunk.lstrip("\n")
+        return body != "" and not body[0].isspace()
 
     def _word(self, text: str) -> bytes:
         """The ids of a text that is one pre-token: letters, with a space before them or none. Those of ASCII stand for themselves."""
         spelt = text.replace(" ", _SPACE) if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_LETTERS)
         return _bytes([t.id for t in self._model.tokenize(spelt)])
 
-    def _learn(self, unknown: set[str]) -> None:
+    def _learn(self, unknown: list[str]) -> None:
         """Adds the ids of chunks. A word goes to the model at once; marks at its end are a token of their own, so it serves with any marks."""
         new, old, marks_of = self._new, self._old, self._marks
         rest = []
-        # Nothing is remembered of a key or word but its ids, or None where it hangs on its neighbours; 0 stands for nothing known.
+        # Nothing is remembered of a chunk or word but its ids, or None where it hangs on its neighbours.
         known, word, tokenize, little = old.get, self._word, self._model.tokenize, sys.byteorder == "little"
         for key in unknown:
-            if (ids := known(key, 0)) != 0:
+            if (ids := known(key, _UNKNOWN)) is not _UNKNOWN:
                 new[key] = ids
                 continue
-            if key.isalpha():
+            spaced = key[0] == " "
+            if spaced and (plain := key[1:]).isalpha():
                 if key not in new:
-                    new[key] = array("I", [t.id for t in tokenize(_SPACE + key)]).tobytes() if little and key.isascii() else word(" " + key)
+                    new[key] = array("I", [t.id for t in tokenize(_SPACE + plain)]).tobytes() if little and key.isascii() else word(key)
                 continue
             body = key.rstrip(",.;:!?")
-            if body.isalpha():
+            if spaced and body[1:].isalpha():
                 ids = new.get(body) or known(body)
                 if ids is None:
-                    ids = word(" " + body)
+                    ids = word(body)
                     if len(body) <= LONGEST_KEPT:
                         new[body] = ids
             elif body[:1] == "\n" and body[1:].isalpha():
-                ids = self._newline + self._word(body[1:])
+                ids = self._newline + word(body[1:])
             else:
                 rest.append(key)
                 continue
@@ -114,38 +100,62 @@ class TextEncoder:
                     marks_of[marks] = self.whole(marks)
                 ids += marks_of[marks]
             new[key] = ids
-        alone = {key: self._alone(key) for key in rest}
-        new.update((key, None) for key, text in alone.items() if text is None)
-        todo = ((key, text) for key, text in alone.items() if text is not None)
+        new.update((key, None) for key in rest if not self._alone(key))
+        todo = (key for key in rest if self._alone(key))
         while batch := list(islice(todo, 4096)):
-            for (key, _), e in zip(batch, self._tokenizer.encode_batch_fast([a for _, a in batch], add_special_tokens=False), strict=True):
+            for key, e in zip(batch, self._tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
                 new[key] = _bytes(e.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; the same as the library's encode(text, add_special_tokens=False)."""
         if not self._cuts:
             return [_bytes(e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        parts = [[] if any(a in t for a in self._added) else self._chunks(t) for t in texts]
-        new, every = self._new, set()
-        for chunks in parts:
-            every.update(chunks)
-        unknown = every.difference(new)
+        import pyarrow as pa
+
+        column = pa.array(texts, pa.large_string())
+        starts = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1)
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        chunks, first = _cut(data, starts)
+        new = self._new
+        coded = pa.LargeStringArray.from_buffers(len(chunks) - 1, pa.py_buffer(chunks), pa.py_buffer(data)).dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(new.get, distinct, repeat(_UNKNOWN)))
+        places = [i for i, ids in enumerate(known) if ids is _UNKNOWN]
+        unknown = [distinct[i] for i in places]
         self._learn(unknown)
-        find = new.__getitem__
-        out = []
-        for text, chunks in zip(texts, parts, strict=True):
-            try:
-                out.append(b"".join(map(find, chunks)) if chunks else self.whole(text))
-            except TypeError:
-                out.append(self.whole(text))
+        for i, key in zip(places, unknown, strict=True):
+            known[i] = new[key]
+        ids = pa.array(known, pa.large_binary()).take(coded.indices)
+        odd = {i for i, t in enumerate(texts) if any(a in t for a in self._added)}
+        if ids.null_count:  # the text of each chunk that has no ids of its own
+            odd.update((np.searchsorted(first, np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)), "right") - 1).tolist())
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[first].tolist()
+        found = (ids.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        out = [found[a:b] for a, b in zip(ends, ends[1:])]
+        for i in odd:
+            out[i] = self.whole(texts[i])
         for key in unknown:
             if len(key) > LONGEST_KEPT:
                 del new[key]
         if len(new) > self._limit:
             self._new, self._old = {}, new
+        del column, coded, ids, found
+        pa.default_memory_pool().release_unused()  # else it keeps some 40 MB for the next group
         return out
 
 
+def _cut(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where chunks of UTF-8 texts begin, with the end; the number of each text's first chunk, with that of all). A chunk begins with
+    a text, a space or a run of newlines; an empty text has none."""
+    breaks = data == 10
+    marked = data == 32
+    marked[:1] |= breaks[:1]
+    marked[1:] |= breaks[1:] & ~breaks[:-1]
+    marked[starts[:-1][starts[:-1] < starts[1:]]] = True
+    chunks = np.append(np.flatnonzero(marked), len(data))
+    return chunks, np.searchsorted(chunks, starts)
+
+
 def encoder(path: str, remembered: int = REMEMBERED) -> TextEncoder:
     """One encoder for each worker process; a reused worker keeps what it has learnt."""
     return worker_state(("tokens", path, remembered), lambda: TextEncoder(path, remembered))
